@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, pii, quality, urls
+from tidemark.llm import fingerprints, mixing, packing, pii, quality, toxicity, urls
 from tidemark.llm.common import read
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -26,8 +30,16 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(read(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_best_fit_packing, op6_url_filters)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_quality_rules, op4_best_fit_packing, op6_url_filters, op7_toxicity, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
