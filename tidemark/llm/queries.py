@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing, packing, pii, quality, toxicity, urls
+from tidemark.llm import fingerprints, mixing, packing, pii, quality, substrings, suffix_index, toxicity, urls
 from tidemark.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(read(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -38,8 +42,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_quality_rules, op4_best_fit_packing, op6_url_filters, op7_toxicity, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_quality_rules, op4_best_fit_packing, op5_substring_dedup, op6_url_filters, op7_toxicity, op9_document_fingerprints, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
