@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,11 +34,10 @@ from tidemark.llm.common import cut
 
 SIZE, END = 4096, 1
 #: Pieces ranked in one block, on average.
-BLOCK = 50_000
+BLOCK = 2_000
 #: Chunks of text between blanks whose ids a worker keeps.
 CACHE = 1_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BLANKS = {9: " ", 10: " ", 13: " "}
 
 
 def vocabulary() -> str:
@@ -48,38 +47,64 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
+class Ids:
+    """Ids (little-endian bytes) of chunks of text between blanks; the vocabulary's splits never cross a blank.
 
-class Ids(dict):
-    """Ids of chunks of text that hold no blank; the vocabulary's splits never cross a blank.
-
-    Chunks that only differ in case or in trailing stops share the work: a chunk of plain letters with one
-    trailing stop is the letters' ids and the stop's.
+    Chunks that only differ in case or in one trailing stop share the work: such a chunk is a word of letters, encoded in
+    lower case, and the stop. New words are encoded many at a time, and told apart by the tokens that end words.
     """
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
-        self[""] = ()
-
-    def fresh(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self.encode(chunk, add_special_tokens=False).ids)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ends, self.known = ends, {"": b""}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _words(self, words: list[str]) -> None:
+        """Learn words of letters."""
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = self.encode(" ".join(part))
+            after = np.flatnonzero(self.ends[ids]) + 1
+            if len(after) != len(part):
+                self.known.update((w, self.encode(w).tobytes()) for w in part)
+                continue
+            raw, low = ids.tobytes(), 0
+            for w, high in zip(part, (after * 4).tolist(), strict=True):
+                self.known[w], low = raw[low:high], high
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Learn those of the chunks that aren't known."""
+        known = self.known
+        fresh, built = set(), []
+        for c in chunks:
+            if c in known:
+                continue
+            low, stop = c.lower(), c[-1]
+            if low.isalpha() and (c.isascii() or low == c):
+                fresh.add(low)
+                built.append((c, low, ""))
+            elif stop in ".,;:!?" and low[:-1].isalpha() and (c.isascii() or low == c):
+                fresh.update((low[:-1], stop))
+                built.append((c, low[:-1], stop))
+            else:
+                known[c] = self.encode(c).tobytes()
+        for stop in fresh.intersection(".,;:!?"):
+            known[stop] = self.encode(stop).tobytes()
+        self._words([w for w in fresh if w not in known])
+        for c, word, stop in built:
+            known[c] = known[word] + known[stop]
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        low, stop = chunk.lower() if chunk.isascii() else chunk, chunk[-1]
-        if stop in ".,;:!?" and len(chunk) > 1 and chunk[:-1].lower().isalpha():
-            ids = self[low[:-1]] + self[stop]
-        elif low != chunk and chunk.isalpha():
-            ids = self[low]
-        else:
-            ids = self.fresh(chunk)
-        self[chunk] = ids
-        return ids
+    def forget(self) -> None:
+        """Keep memory bounded."""
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
 
 
 @lru_cache(2)
@@ -87,25 +112,23 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def ids_of(text: str | None, path: str) -> array:
-    """Token ids of one document, end mark included."""
-    cache, out = _ids(path), array("I")
-    for ids in map(cache.__getitem__, (text or "").translate(BLANKS).split(" ")):
-        out.extend(ids)
-    out.append(END)
-    if len(cache) > CACHE:
-        cache.clear()
-        cache[""] = ()
-    return out
+def ids_of(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """Token ids of documents, end mark included, as little-endian 32-bit numbers."""
+    ids, end = _ids(path), END.to_bytes(4, "little")
+    for i in range(0, len(texts), 128):
+        split = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts[i : i + 128]]
+        ids.learn(set(chain.from_iterable(split)))
+        get = ids.known.__getitem__
+        for chunks in split:
+            yield b"".join(map(get, chunks)) + end
+        ids.forget()
 
 
-def _cut_rows(rows: Iterator[tuple], path: str, size: int) -> Iterator[tuple]:
-    for doc_id, text in rows:
-        ids = ids_of(text, path)
-        raw = np.frombuffer(ids, dtype=np.uint32).astype("<u4")
-        for piece, start in enumerate(range(0, len(ids), size)):
-            part = raw[start : start + size]
-            yield doc_id, piece, start, len(part), zlib.crc32(part.tobytes())
+def _cut_rows(doc_ids: list, texts: list[str | None], path: str, size: int) -> Iterator[tuple]:
+    for doc_id, raw in zip(doc_ids, ids_of(texts, path), strict=True):
+        for piece, start in enumerate(range(0, len(raw), 4 * size)):
+            part = raw[start : start + 4 * size]
+            yield doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)
 
 
 def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE) -> DataFrame:
@@ -114,7 +137,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = _cut_rows(zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True), path, size)
+            rows = _cut_rows(batch["doc_id"].tolist(), batch["text"].tolist(), path, size)
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
@@ -156,16 +179,13 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if not counts:
         return cut_pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     places = np.array(sorted(best_fit(counts, size)), dtype=np.int64)
-    blocks = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (int(k), -(-n // BLOCK)))) if max(counts.values()) > BLOCK else None
-    salt = F.lit(0) if blocks is None else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks[F.col("length")])
-    salted = cut_pieces.withColumn("salt", salt.cast("long"))
+    hot = {int(k): -(-n // BLOCK) for k, n in counts.items() if n > BLOCK}
+    blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("length")], F.lit(1)) if hot else F.lit(1)
+    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks).cast("long"))
     sizes = salted.groupBy("length", "salt").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = sizes.select("length", "salt", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    if blocks is None:
-        ranked = salted.withColumn("rank", F.row_number().over(order) - 1).drop("salt")
-    else:
-        ranked = salted.withColumn("n", F.row_number().over(order)).join(before.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1).drop("salt", "n", "before")
+    ranked = salted.withColumn("n", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     shared = cut_pieces.sparkSession.sparkContext.broadcast(places)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
