@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing, packing, pii, quality, substrings, suffix_index, toxicity, urls
+from tidemark.llm import fingerprints, mixing, ngram_join, packing, pii, quality, substrings, suffix_index, toxicity, urls
 from tidemark.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,7 +51,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_quality_rules, op4_best_fit_packing, op5_substring_dedup, op6_url_filters, op7_toxicity, op9_document_fingerprints, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_quality_rules, op4_best_fit_packing, op5_substring_dedup, op6_url_filters, op7_toxicity, op8_ngram_jaccard_join, op9_document_fingerprints, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
