@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, packing, pii, quality
+from tidemark.llm.common import stored
 
 #: Columns of documents; all stages but the last return them.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the documents under sf_dir."""
+    """All stages, applied to the documents under sf_dir; each stage's rows are written before the next one reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +28,27 @@ def word_array(text) -> F.Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there, so that a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; where that is unset, as in tests, a temporary one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data between jobs: the session's spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as a checkpoint, so that a lost executor costs no recomputation. Spark removes it when unused."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again. The files stay until the folder goes."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of a table under sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
