@@ -98,6 +98,16 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     return x.drop("q_text", "q_words", "q_lines", "q_windows", "q_placed", "q_again", "q_full", "q_marked")
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """Documents (text and any columns) that are kept, with the text cleaned.
+
+    The filter also names a running number, which keeps the optimizer from moving it below the measures and so
+    computing them once for each place where the verdict uses them.
+    """
+    measured = measure(df).withColumn("q_row", F.monotonically_increasing_id()).where("kept and q_row >= 0")
+    return measured.select(*(F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in df.columns))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Measures and verdict for each document (doc_id, text)."""
     return measure(df.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", F.round("lost", 6).alias("lost"))
