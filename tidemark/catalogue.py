@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -470,11 +472,7 @@ def codec_round_trip(spark, sf_dir):
 def _folder(spark: SparkSession) -> str:
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
-
         return f"{shared}/tidemark-{uuid.uuid4().hex}"
-    import atexit
-
     made = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
