@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Stands for a null doc_id where ids are keys.
+NO_ID = -(1 << 63)
+
 #: str.translate table that makes every separator a space.
 TO_SPACE = {i: " " for i in range(9, 14)}
 

@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import anchors_of, mix
-from tidemark.llm.common import cut
+from tidemark.llm.common import NO_ID, cut
 from tidemark.llm.suffixes import SuffixIndex
 
-NO_ID = -(1 << 63)
 ROWS = "part long, c long, id long, place long, kind int"
 FOUND = "id long, h int, g long, place long, kind int"
 CONTEXTS = "g long, id long, h int, place long, kind int, symbols binary"

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
-from tidemark.llm.repeats import NO_ID, covered, marked_documents
+from tidemark.llm.common import NO_ID, words_of
+from tidemark.llm.repeats import covered, marked_documents
 
 LENGTH, GRAM = 35, 12
 

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.repeats import NO_ID, covered, marked_documents
+from tidemark.llm.common import NO_ID
+from tidemark.llm.repeats import covered, marked_documents
 
 LENGTH, GRAM = 100, 24
 TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
