@@ -2,7 +2,8 @@
 
 Categories are predicted one after the other by linear models on the words a text has; each model also gets the
 probabilities of the categories before it. For training these are out-of-fold predictions, so that a later model
-doesn't learn to trust probabilities that the earlier one fitted on the same rows.
+doesn't learn to trust probabilities that the earlier one fitted on the same rows. The verdict's threshold is the
+lowest one at which out-of-fold verdicts are precise enough.
 
 The models are fitted on at most SAMPLE labelled rows (those with the smallest hashes of doc_id); what goes to
 the driver are the sampled rows' sets of hashed words. All documents are scored, in one pass over the table.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 #: Labelled rows used at most, hashed words, words chosen for each model, folds, ridge.
 SAMPLE, DIMENSIONS, WORDS, FOLDS, RIDGE = 12_000, 1 << 18, 192, 4, 1.0
 CATEGORIES = ("low_quality", "toxic")
+#: Share of right verdicts, out of fold, that the threshold keeps to.
+PRECISION = 0.9
 MARKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r.,;:!?\"()[]{}#*$%&|<>'"})
 
 
@@ -109,16 +112,15 @@ def predict(model: Model, rows: list[np.ndarray], earlier: np.ndarray) -> np.nda
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability that gives the best F1 on out-of-fold predictions, half-way to the next lower one."""
-    if not y.any():
-        return 0.5
+    """The lowest probability from which at least PRECISION of out-of-fold verdicts are right, half-way to the next lower one; 0.5 if there is none."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[order][:-1] == p[order][1:]] = 0  # equal probabilities are taken together
-    best = int(np.argmax(f1))
-    lower = p[order[best + 1]] if best + 1 < len(y) else 0.0
-    return float((p[order[best]] + lower) / 2)
+    precise = np.cumsum(y[order]) / np.arange(1, len(y) + 1) >= PRECISION
+    precise[:-1] &= p[order][:-1] != p[order][1:]  # equal probabilities are taken together
+    if not precise.any():
+        return 0.5
+    last = int(np.flatnonzero(precise)[-1])
+    lower = p[order[last + 1]] if last + 1 < len(y) else 0.0
+    return float((p[order[last]] + lower) / 2)
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray) -> list[Model]:
