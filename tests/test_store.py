@@ -8,7 +8,11 @@ from tidemark import catalogue
 from tidemark.config import Config
 from tidemark.errors import Closed, NotFound
 from tidemark.functions.predicates import tag
+from tidemark.model import Measurement
+from tidemark.operators import rollup
+from tidemark.operators.series import catalog
 from tidemark.plans.query import Query
+from tidemark.plans.routing import Router, makes
 from tidemark.sources.store import Database, ResultCache
 from tidemark.streaming import ingest
 
@@ -78,6 +82,32 @@ def test_compact_and_recompress_keep_rows(db):
     assert seqs(db) == before
 
 
+def test_recompress_by_age(db):
+    before = seqs(db)
+    db.recompress_by_age("cpu", dt.date(2024, 1, 10))
+    assert seqs(db) == before and len(db.days("cpu")) == 5
+
+
+def test_saved_catalog(db):
+    m = db.measurement("cpu", "ts", ("host",), ("value",), ("seq",))
+    saved = db.save_catalog("cpu", m)
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, db.load_catalog("cpu").collect())) == sorted(map(tuple, catalog(m).collect()))
+    assert db.measurements() == ["cpu"]
+    with pytest.raises(NotFound):
+        db.load_catalog("mem")
+
+
+def test_routing(spark):
+    m = Measurement(points(spark), "ts", ("host",), ("value",), ("seq",))
+    r = Router(m).keep("1 hour", ("host",), rollup.rollup(m, "1 hour", ("host",))).keep("1 day", (), rollup.rollup(m, "1 day"))
+    assert r.source("1 day", ())[0] == "1 day" and r.source("month", ("host",))[0] == "1 hour" and r.source("30 seconds", ()) is None
+    rows = lambda df, *c: sorted(tuple(x[k] for k in (*c, "bucket", "sum", "count", "avg", "last_ts")) for x in df.collect())
+    for grain in ("1 hour", "1 day", "month", "10 minutes"):
+        assert rows(r.summary(grain), ) == rows(rollup.rollup(m, grain))
+        assert rows(r.summary(grain, ("host",), {"host": "a"}), "host") == [x for x in rows(rollup.rollup(m, grain, ("host",)), "host") if x[0] == "a"]
+    assert not makes("week", "month") and makes("1 day", "week") and not makes("month", "1 day")
+
+
 def test_last_write_wins_on_read(spark, tmp_path):
     d = Database(spark, str(tmp_path / "db"), Config(duplicates="lww"))
     d.write("cpu", frame(spark, [(T0, "a", 1.0, 0)]), "ts")

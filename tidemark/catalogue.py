@@ -16,6 +16,7 @@ from tidemark.functions.predicates import Predicate, exact_set, tag
 from tidemark.model import Measurement
 from tidemark.operators import maintenance, rates, rollup, series
 from tidemark.plans.query import Query
+from tidemark.plans.routing import Router
 from tidemark.sources.store import Database
 from tidemark.streaming import ingest
 
@@ -304,6 +305,14 @@ def trend_delta(spark, sf_dir):
     return rollup.trend(daily, "n", ("event_type",))
 
 
+@_named(_summary_sql("orders", "o_orderstatus", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)", "o_orderdate", "o_totalprice"))
+def rollup_routed(spark, sf_dir):
+    """Months by status, answered from a rollup of days by status and priority."""
+    m = orders(spark, sf_dir)
+    both = ("o_orderstatus", "o_orderpriority")
+    return _summary(Router(m).keep("1 day", both, rollup.rollup(m, "1 day", both)).summary("month", ("o_orderstatus",)))
+
+
 # Rates
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidemark.errors import Closed, NotFound
 from tidemark.functions.predicates import Predicate, exact_set
 from tidemark.model import Measurement
 from tidemark.operators.maintenance import last_write_wins
+from tidemark.operators.series import catalog
 from tidemark.plans.query import Query
 
 DAY = "day"
@@ -54,7 +56,7 @@ class Database:
     def measurements(self) -> list[str]:
         """Names of the measurements."""
         at, fs = self._hadoop(self._path(""))
-        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and not x.getPath().getName().startswith(".")) if fs.exists(at) else []
 
     def exists(self, name: str) -> bool:
         at, fs = self._hadoop(self._path(name))
@@ -165,6 +167,26 @@ class Database:
         finally:
             self.config = was
 
+    def recompress_by_age(self, name: str, now: date) -> None:
+        """Rewrite days that have turned warm with zstd 4 and cold ones with zstd 9; hot days stay as they were written."""
+        age = {d: (now - date.fromisoformat(d)).days for d in self.days(name)}
+        for low, high, level in ((self.config.hot_days, self.config.warm_days, 4), (self.config.warm_days, None, 9)):
+            if days := [d for d, n in age.items() if n >= low and (high is None or n < high)]:
+                self.recompress(name, days, "zstd", level)
+
+    def save_catalog(self, name: str, m: Measurement) -> DataFrame:
+        """Write the series catalog beside the data, so that look-ups need not read points; it shows the time it was saved."""
+        path = f"{self._path('.catalog')}/{name}"
+        catalog(m).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def load_catalog(self, name: str) -> DataFrame:
+        path = f"{self._path('.catalog')}/{name}"
+        at, fs = self._hadoop(path)
+        if not fs.exists(at):
+            raise NotFound(f"no catalog of {name}")
+        return self.spark.read.parquet(path)
+
     def stats(self, name: str, tags: tuple[str, ...] = ()) -> dict[str, int]:
         """Points, series, days and bytes of a measurement."""
         df = self.read(name)
