@@ -26,6 +26,11 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in text.translate(TO_SPACE).split(" ") if w]
 
 
+def known_id(doc_id: F.Column) -> F.Column:
+    """doc_id, or NO_ID for null: pandas would make floats of a column of longs with nulls in it."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
 def word_array(text) -> F.Column:
     """The same as a column of arrays. A null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

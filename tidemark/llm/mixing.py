@@ -20,6 +20,7 @@ infeasible target the nearest end of [0, 1] is taken; an empty table gives no ro
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ def sources_of(units: DataFrame) -> DataFrame:
     return units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_units"))
 
 
-def _bisect(sources: DataFrame, total: int, least: float, most: float, low_enough) -> float:
-    """The exponent in [0, 1] from which low_enough holds (it holds for larger ones), to 16^-ROUNDS."""
+def _bisect(sources: DataFrame, total: int, low_enough: Callable[[float, float, float], bool]) -> float:
+    """The exponent in [0, 1] from which low_enough(exponent, sum of raised shares, their sum with logarithms) holds, to 16^-ROUNDS."""
     low, high = 0.0, 1.0
     share = F.col("tokens") / F.lit(float(total))
     for _ in range(ROUNDS):
@@ -69,10 +70,10 @@ def exponent(sources: DataFrame, entropy: float | None = None, max_repetition: f
     total, least, most = facts.total, facts.least / facts.total, facts.most / facts.total
     alpha = 0.0
     if entropy is not None:
-        alpha = max(alpha, _bisect(sources, total, least, most, lambda a, z, lz: math.log(z) - a * lz / z <= entropy * math.log(facts.n)))
+        alpha = max(alpha, _bisect(sources, total, lambda a, z, lz: math.log(z) - a * lz / z <= entropy * math.log(facts.n)))
     if max_repetition is not None:
         repeats = (lambda a, z: (least / most) ** (a - 1)) if budget is None else (lambda a, z: least ** (a - 1) / z * budget / total)
-        alpha = max(alpha, _bisect(sources, total, least, most, lambda a, z, _: repeats(a, z) <= max_repetition))
+        alpha = max(alpha, _bisect(sources, total, lambda a, z, _: repeats(a, z) <= max_repetition))
     return alpha
 
 

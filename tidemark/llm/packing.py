@@ -13,7 +13,7 @@
    and look up which run of places holds the rank.
 
 Edge cases: a null text counts as empty and is one token (the end mark); a document whose length is a multiple
-of `size` has no empty last piece; repeated rows are packed as often as they come; an empty table gives no rows.
+of `size` has no empty last piece; repeated rows are packed as often as they come; null doc_ids stay null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import NO_ID, cut, known_id
 
 SIZE, END = 4096, 1
 #: Pieces ranked in one block, on average.
@@ -138,9 +138,10 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = _cut_rows(batch["doc_id"].tolist(), batch["text"].tolist(), path, size)
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
+    cut_up = df.select(known_id(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
+    return cut_up.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
@@ -197,7 +198,8 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
             step = rank - row[:, 1]
             yield batch.drop(columns="rank").assign(sequence_id=row[:, 3] + step // row[:, 4], offset=row[:, 5] + step % row[:, 4] * length)
 
-    return ranked.select(*cut_pieces.columns, F.col("rank").cast("long")).mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    known = ranked.select(*cut_pieces.columns, F.col("rank").cast("long")).withColumn("doc_id", known_id(F.col("doc_id")))
+    return known.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def packed(df: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:

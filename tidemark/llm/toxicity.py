@@ -9,7 +9,7 @@ The models are fitted on at most SAMPLE labelled rows (those with the smallest h
 the driver are the sampled rows' sets of hashed words. All documents are scored, in one pass over the table.
 
 Edge cases: a null or empty text has no words and gets the models' base rates; labels without a document and
-null labels are left out, and documents with several labels count once (the largest); repeated documents are
+null labels are left out, null doc_ids stay null, and documents with several labels count once (the largest); repeated documents are
 scored one by one; without any label of a kind, its probability is the base rate (0 without rows).
 """
 
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import NO_ID, known_id
+
 #: Labelled rows used at most, hashed words, words chosen for each model, folds, ridge.
 SAMPLE, DIMENSIONS, WORDS, FOLDS, RIDGE = 12_000, 1 << 18, 192, 4, 1.0
 CATEGORIES = ("low_quality", "toxic")
@@ -168,7 +170,8 @@ def score(docs: DataFrame, models: list[Model]) -> DataFrame:
             out = pd.DataFrame(np.round(earlier, 6), columns=[f"p_{c}" for c in CATEGORIES], index=b.index)
             yield pd.DataFrame({"doc_id": b["doc_id"], **out, "toxic": earlier[:, -1] >= models[-1].threshold})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    scored = docs.select(known_id(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
