@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import NO_ID, cut
 
 STRONG, SIGNS = 8, 64
 MOD32, MOD16 = (1 << 32) - 1, (1 << 16) - 1
@@ -110,19 +110,19 @@ def digest(df: DataFrame) -> DataFrame:
     The edited text has its last quarter replaced by as many code points from the next document's start. Rows
     equal in doc_id and text take one place in the order, so they have the same next document.
     """
-    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    clean = F.coalesce("text", F.lit(""))
+    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), clean.alias("text"), F.xxhash64(clean).alias("h"), F.char_length(clean).cast("long").alias("n_chars"))
     order = _next_places(docs.select("doc_id", "h", "n_chars").distinct())
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("prev_id"), F.col("h").alias("prev_h"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"))
-    printed = add_fingerprint(docs, "text", "lanes")
-    key = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & a.h.eqNullSafe(b.h)
-    whole = printed.join(wanted, key(printed, wanted)).select(printed.doc_id, printed.h, "text", "n_chars", "lanes", "prev_id", "prev_h", "k")
-    heads = whole.select(F.col("prev_id").alias("doc_id"), F.col("prev_h").alias("h"), F.col("lanes").alias("next_lanes"), F.expr("substring(text, 1, k)").alias("head")).dropDuplicates(["doc_id", "h"])
-    own = whole.select("doc_id", "h", "text", "n_chars", "lanes")
-    x = own.join(heads, key(own, heads)).select(own.doc_id, "text", "n_chars", "lanes", "next_lanes", "head")
+    # Both uses of `printed` read the same columns, so the shuffle of the texts by key is made once and read twice.
+    printed = add_fingerprint(docs, "text", "lanes").repartition("doc_id", "h")
+    heads = printed.join(wanted, ["doc_id", "h"]).select(F.col("prev_id").alias("doc_id"), F.col("prev_h").alias("h"), F.col("lanes").alias("next_lanes"), F.expr("substring(text, 1, least(k, cast(n_chars as int)))").alias("head"))
+    heads = heads.dropDuplicates(["doc_id", "h"])
+    x = printed.join(heads, ["doc_id", "h"]).select("doc_id", "text", "n_chars", "lanes", "next_lanes", "head")
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     x = x.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "head")).drop("text", "head")
     x = add_fingerprint(x, "edited", "edited_lanes").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
     for lanes in ("lanes", "edited_lanes", "next_lanes"):
         x = add_signs(x, lanes, f"{lanes}_signs")
     near = lambda other: likeness(F.col("lanes_signs"), F.col(f"{other}_signs"), F.col("lanes") == F.col(other))
-    return x.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), near("edited_lanes").alias("near_edited"), near("next_lanes").alias("near_next"))
+    return x.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), near("edited_lanes").alias("near_edited"), near("next_lanes").alias("near_next"))
