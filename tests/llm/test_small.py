@@ -1,13 +1,15 @@
 """Operators against brute force on small, awkward inputs."""
 
+import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import fingerprints, mixing, ngram_join, packing, pii, quality, substrings, suffix_index, toxicity, urls
+from tidemark.llm import fingerprints, mixing, ngram_join, packing, pii, quality, repeats, substrings, suffix_index, suffixes, toxicity, urls
 
 DOCS = "doc_id long, text string"
 
@@ -38,6 +40,29 @@ def test_suffix_dedup(docs, rows):
     assert got(suffix_index.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(rows))
 
 
+@pytest.mark.parametrize(("indexed", "compared"), [(400, 1 << 30), (400, 900)])
+def test_large_groups(docs, rows, monkeypatch, indexed, compared):
+    """Groups compared by hashes in a task, and groups whose windows are passed on."""
+    for name, value in (("CHUNK", 300), ("INDEXED", indexed), ("COMPARED", compared), ("TEXTS", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    assert got(substrings.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.substring_dedup(rows))
+    assert got(suffix_index.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(rows))
+
+
+def test_suffix_index_shares():
+    rng = random.Random(9)
+    for _ in range(30):
+        strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) * rng.randint(1, 3) for _ in range(rng.randint(1, 12))]
+        symbols = np.array([ord(c) - 96 if c != "$" else 0 for c in "".join(s + "$" for s in strings)], np.int64)
+        x, text = suffixes.SuffixIndex(symbols, 2, 5), "".join(s + "$" for s in strings)
+        tail = lambda p: text[p : text.index("$", p)]
+        order = sorted(range(len(text)), key=lambda p: (tail(p), p))
+        assert list(x.sa) == order
+        for before, p in zip(order, order[1:]):
+            n = len(os.path.commonprefix([tail(before), tail(p)]))
+            assert x.common[p] == n if n >= 5 else x.common[p] < 5
+
+
 def test_ngram_join_of_awkward_texts(docs, rows):
     assert got(ngram_join.digest(docs), "doc_id", "class_id", "n_links") == want(brute.near_groups(rows))
 
@@ -173,6 +198,14 @@ def test_packing_repeated_rows_and_hot_lengths(spark, monkeypatch):
     assert len({r.sequence_id for r in out}) == 14
 
 
+def test_ids_survive_nulls(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a"), (None, "b")], DOCS)
+    labels = spark.createDataFrame([(big, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (packing.packed(df), toxicity.digest(df, labels), substrings.digest(df), suffix_index.digest(df), ngram_join.digest(df), fingerprints.digest(df), pii.digest(df), quality.digest(df), mixing.digest(df.withColumn("source", F.lit("s")))):
+        assert {r.doc_id for r in out.collect()} == {big, None}
+
+
 def first_fit(lengths, size):
     bins = []
     for n in sorted(lengths, reverse=True):
@@ -286,8 +319,6 @@ def test_mixing_keeps_every_document(spark):
 
 
 def test_toxicity_held_out():
-    import numpy as np
-
     rng = random.Random(4)
     vocabulary = [f"plain{i}" for i in range(300)]
     rows, labels = [], []

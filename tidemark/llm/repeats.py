@@ -17,24 +17,25 @@ Rows are known by doc_id and 16 bits of a hash of the text, so repeated ids with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import anchors_of, mix
+from tidemark.llm.anchors import anchors_of, gram_hashes, mix
 from tidemark.llm.common import NO_ID, cut
 from tidemark.llm.suffixes import SuffixIndex
 
 ROWS = "part long, c long, id long, place long, kind int"
 FOUND = "id long, h int, g long, place long, kind int"
 CONTEXTS = "g long, id long, h int, place long, kind int, symbols binary"
-MARKS = "id long, h int, low long, high long"
+MARKS = "id long, h int, low long, high long, w1 long, w2 long, open boolean"
 #: Kinds of rows: to be compared; settled mark; stands for settled ones and is marked itself; asked for.
 OPEN, MARK, WITNESS, ASKED = 0, 1, 2, 3
-#: Context symbols indexed at once.
-CHUNK = 1 << 21
+#: Context symbols compared at once; of a group indexed at once; of a group compared in one task. Characters of text whose anchors are made at once.
+CHUNK, INDEXED, COMPARED, TEXTS = 1 << 20, 1 << 21, 6 << 20, 8 << 20
 WIDTH_BITS, HASH_BITS = 8, 16
 
 
@@ -62,11 +63,18 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of about TEXTS characters, or one longer text."""
+    part = batch["text"].str.len().cumsum() // TEXTS
+    for _, rows in batch.groupby(part.to_numpy(), sort=False):
+        yield rows
+
+
 def anchor_rows(docs: DataFrame, hashes: Callable[[str], np.ndarray], length: int, gram: int, first_stays: bool) -> DataFrame:
     """Rows of all anchors. first_stays: the earliest of equal windows is no repeat."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(portions, batches)):
             got = [(a, i, h) for i, h, t in zip(batch["id"].tolist(), batch["h"].tolist(), batch["text"], strict=True) if len((a := anchors_of(hashes(t), length, gram)).g)]
             if not got:
                 continue
@@ -158,8 +166,25 @@ def contexts(docs: DataFrame, lists: DataFrame, symbols: Callable[[str], np.ndar
     return docs.join(wanted, ["id", "h"]).select("id", "h", "text", "asked").mapInPandas(run, CONTEXTS)
 
 
-def resolve(rows: DataFrame, length: int, dtype: type, bits: int, first_stays: bool) -> DataFrame:
-    """Marked stretches (low to high, in symbols) of contexts: windows that another context also has."""
+def _numbered(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as numbers from 1 in order, without gaps."""
+    if symbols.dtype == np.uint8:
+        table = np.cumsum(np.bincount(symbols, minlength=256) > 0)
+        return table[symbols]
+    return np.unique(symbols, return_inverse=True)[1] + 1
+
+
+def resolve(rows: DataFrame, length: int, dtype: type, first_stays: bool) -> DataFrame:
+    """Marked stretches (low to high, in symbols) of contexts: windows that another context also has.
+
+    Groups of over INDEXED symbols, such as a passage that very many documents hold, are compared by 128-bit hashes of their windows, which take a
+    fraction of an index's memory. Those of over COMPARED symbols are not held in one task at all: their windows go on as
+    rows (w1, w2), to be compared by an aggregate, see `compared`.
+    """
+
+    def hashed(x: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of each window of symbols."""
+        return [mix(gram_hashes(mix(x.astype(np.uint64) + np.uint64(seed)), length)[0]) for seed in (1, 1 << 40)]
 
     def index(r: pd.DataFrame) -> pd.DataFrame:
         r = r.sort_values(["id", "place"], kind="stable").reset_index(drop=True)
@@ -167,57 +192,100 @@ def resolve(rows: DataFrame, length: int, dtype: type, bits: int, first_stays: b
         sizes = np.array([len(p) for p in parts], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes + 1)))
         flat = np.concatenate(parts)
-        numbers = flat.astype(np.int64) + 1 if np.dtype(dtype).itemsize == 1 else np.unique(flat, return_inverse=True)[1] + 1
         symbols = np.zeros(starts[-1], np.int64)
-        symbols[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), sizes)] = numbers
-        x = SuffixIndex(symbols, bits if np.dtype(dtype).itemsize == 1 else max(1, int(numbers.max()).bit_length()))
-        classes = x.classes(length)
+        symbols[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), sizes)] = _numbered(flat)
+        room = np.repeat(starts[1:] - 1, sizes + 1) - np.arange(len(symbols))
+        if len(symbols) <= INDEXED:
+            x = SuffixIndex(symbols, max(1, int(symbols.max()).bit_length()), length)
+            order, classes = x.sa, x.classes(length)
+        else:
+            w1, w2 = hashed(symbols)
+            order = np.flatnonzero(room >= length)
+            order = order[np.lexsort((order, w2[order], w1[order]))]
+            classes = np.cumsum(_starts(w1[order], w2[order]))
         owner = np.repeat(np.arange(len(parts)), sizes + 1)
         place = np.arange(len(symbols)) - starts[owner] + (r["place"].to_numpy() >> (WIDTH_BITS + HASH_BITS))[owner]
-        full = x.stop - np.arange(len(symbols)) >= length
+        full = room >= length
         marked = np.zeros(len(symbols), bool)
         begin = np.flatnonzero(_starts(classes))
         if first_stays:
-            earliest = np.minimum.reduceat(x.sa, begin)[classes - classes[0]]
+            earliest = np.minimum.reduceat(order, begin)[classes - classes[0]]
             ids = r["id"].to_numpy()[owner]
-            marked[x.sa] = (earliest < x.sa) & ((ids[earliest] != ids[x.sa]) | (place[earliest] != place[x.sa]))
+            marked[order] = (earliest < order) & ((ids[earliest] != ids[order]) | (place[earliest] != place[order]))
         else:
-            marked[x.sa] = np.diff(np.concatenate((begin, [len(classes)])))[classes - classes[0]] > 1
+            marked[order] = np.diff(np.concatenate((begin, [len(classes)])))[classes - classes[0]] > 1
             marked &= (r["kind"].to_numpy() == ASKED)[owner]
         marked &= full
         edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a context's end is never marked, so runs stay in theirs
         who = owner[low]
-        return pd.DataFrame({"id": r["id"].to_numpy()[who], "h": r["h"].to_numpy()[who], "low": place[low], "high": place[low] + (high - low) - 1 + length})
+        return pd.DataFrame({"id": r["id"].to_numpy()[who], "h": r["h"].to_numpy()[who], "low": place[low], "high": place[low] + (high - low) - 1 + length, "w1": None, "w2": None, "open": False})
+
+    def windows(r: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for i, h, place, kind, held in zip(r["id"], r["h"], r["place"], r["kind"], r["symbols"], strict=True):
+            w1, w2 = (w.view(np.int64) for w in hashed(np.frombuffer(held, dtype)))
+            low = np.arange(len(w1)) + (place >> (WIDTH_BITS + HASH_BITS))
+            yield pd.DataFrame({"id": i, "h": h, "low": low, "high": low + length, "w1": w1, "w2": w2, "open": kind == ASKED})
+
+    def symbols_in(r: pd.DataFrame) -> int:
+        return int(r["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, passed_on = [], 0, None
         for batch in batches:
+            if passed_on is not None:
+                same = int(np.searchsorted(batch["g"].to_numpy(), passed_on, side="right"))
+                yield from windows(batch.iloc[:same])
+                batch = batch.iloc[same:]
+                passed_on = passed_on if not len(batch) else None
             held.append(batch)
-            size += int(batch["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
-            if size >= CHUNK:
-                every = pd.concat(held, ignore_index=True)
-                n = int(np.searchsorted(every["g"].to_numpy(), every["g"].iloc[-1]))
-                if n:
-                    yield index(every.iloc[:n])
-                held = [every.iloc[n:]]
-                size = int(held[0]["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
+            size += symbols_in(batch)
+            if size < CHUNK or not sum(map(len, held)):
+                continue
+            every = pd.concat(held, ignore_index=True)
+            last = every["g"].iloc[-1]
+            n = int(np.searchsorted(every["g"].to_numpy(), last))
+            if n:
+                yield index(every.iloc[:n])
+            held = [every.iloc[n:]]
+            size = symbols_in(held[0])
+            if size > COMPARED:
+                yield from windows(held[0])
+                held, size, passed_on = [], 0, last
         if held and sum(map(len, held)):
             yield index(pd.concat(held, ignore_index=True))
 
     return rows.repartition("g").sortWithinPartitions("g").mapInPandas(run, MARKS)
 
 
-def marked_documents(df: DataFrame, hashes: Callable[[str], np.ndarray], symbols: Callable[[str], np.ndarray], length: int, gram: int, dtype: type, bits: int, first_stays: bool) -> DataFrame:
+def compared(found: DataFrame, first_stays: bool) -> DataFrame:
+    """id, h, low, high of all marks: those settled in groups, and those of windows passed on.
+
+    Equal windows meet in an aggregate that keeps only the earliest and their number, with partial results before the
+    shuffle; the join back has one row per window on one side, so that a hot window's other side can be split.
+    """
+    settled = found.where("w1 is null").select("id", "h", "low", "high")
+    rows = found.where("w1 is not null")
+    facts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "low")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    both = rows.join(facts, ["w1", "w2"])
+    again = F.struct("id", "low") > F.col("first") if first_stays else F.col("open")
+    return settled.unionByName(both.where(again).select("id", "h", "low", "high"))
+
+
+def marked_documents(df: DataFrame, hashes: Callable[[str], np.ndarray], symbols: Callable[[str], np.ndarray], length: int, gram: int, dtype: type, first_stays: bool) -> DataFrame:
     """id, text, marks (list of place * 256 + width), more (list of low, high) of each document.
 
     hashes gives a text's symbols as 64-bit hashes, symbols as what the suffix index compares (dtype).
     """
     docs = keyed(df)
     lists = per_document(settle(anchor_rows(docs, hashes, length, gram, first_stays), first_stays))
-    late = resolve(contexts(docs, lists, symbols, length), length, dtype, bits, first_stays)
-    late = late.groupBy("id", "h").agg(F.collect_list(F.struct("low", "high")).alias("more"))
-    return docs.join(lists.select("id", "h", "marks"), ["id", "h"], "left").join(late, ["id", "h"], "left").select("id", "text", "marks", "more")
+    placed = docs.repartition("id", "h")  # the one shuffle of the texts, read by both joins below
+    late = resolve(contexts(placed, lists, symbols, length), length, dtype, first_stays)
+    asked = lists.select(F.explode("asked").alias("a")).groupBy("a.g").agg(F.sum(F.shiftright("a.place", HASH_BITS).bitwiseAND(F.lit((1 << WIDTH_BITS) - 1)) + length).alias("n"))
+    if (asked.agg(F.max("n")).first()[0] or 0) > COMPARED:  # some group passes windows on; its rows are read three times, so they are written
+        late = compared(cut(late), first_stays)
+    late = late.select("id", "h", "low", "high").groupBy("id", "h").agg(F.collect_list(F.struct("low", "high")).alias("more"))
+    return placed.join(lists.select("id", "h", "marks"), ["id", "h"], "left").join(late, ["id", "h"], "left").select("id", "text", "marks", "more")
 
 
 def covered(n: int, marks: np.ndarray | None, more: list | None, length: int) -> np.ndarray:

@@ -64,7 +64,7 @@ def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((i, len(words), int(gone.sum()), " ".join(kept)))
             yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
 
-    marked = marked_documents(df, hashes, symbols, length, GRAM, np.uint32, 32, first_stays=False)
+    marked = marked_documents(df, hashes, symbols, length, GRAM, np.uint32, first_stays=False)
     out = marked.mapInPandas(run, "id long, n_words long, n_removed long, kept string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
 

@@ -50,7 +50,7 @@ def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((i, len(data), int(gone.sum()), spans, data[~gone].tobytes()))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = marked_documents(df, hashes, raw, length, GRAM, np.uint8, 8 + 1, first_stays=True)
+    marked = marked_documents(df, hashes, raw, length, GRAM, np.uint8, first_stays=True)
     out = marked.mapInPandas(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 

@@ -10,79 +10,90 @@ class SuffixIndex:
 
     sa: places in order (equal suffixes by place). bwt: the symbol before each, 0 at a string's start.
     heads: where runs of the transform start, so that bwt[heads] and their lengths are the run-length form and
-    sa[heads] the sampled run ends. common[p]: symbols that the suffix at p shares with the one before it in order.
+    sa[heads] the sampled run ends. common[p]: symbols that the suffix at p shares with the one before it in order, exact
+    from `least` on.
 
     Only at run ends is the common prefix measured. Inside a run both neighbours are preceded by the same
     symbol, so their left extensions are neighbours too: the value at p is the one at p - 1 less one, and all values follow
     by one stream over the text.
     """
 
-    def __init__(self, symbols: np.ndarray, bits: int):
+    def __init__(self, symbols: np.ndarray, bits: int, least: int):
         n = len(symbols)
         ends = np.flatnonzero(symbols == 0)
-        self.symbols, self.stop = symbols, ends[np.searchsorted(ends, np.arange(n))] if n else ends
-        longest = int(np.diff(np.concatenate(([-1], ends))).max()) if n else 0
+        self.symbols, self.places = symbols, np.arange(n)
+        self.room = (ends[np.searchsorted(ends, self.places)] if n else ends) - self.places
+        longest = int(self.room.max()) + 1 if n else 0
         key, width = symbols.astype(np.int64), 1
         while width * 2 * bits <= 62 and width < longest:  # pack symbols without sorting
             key = (key << (width * bits)) | self._ahead(key, width)
             width *= 2
-        self.levels: list[tuple[int, np.ndarray]] = []
-        order, rank, distinct = self._rank(key)
-        self.levels.append((width, rank))
+        order = np.argsort(key)
+        rank, distinct = self._number(order, key[order])
+        self.levels = [(width, rank)]
+        place_bits = max(1, int(n).bit_length())
         while distinct < n and width < longest:
-            order, rank, distinct = self._rank(rank * (distinct + 1) + self._ahead(rank, width))
+            if 3 * place_bits <= 63:  # rank, rank ahead and place fit in one number, and plain sorting is fastest
+                key = np.sort(((rank << place_bits | self._ahead(rank, width)) << place_bits) | self.places)
+                order, key = key & ((1 << place_bits) - 1), key >> place_bits
+            else:
+                key = rank * (distinct + 1) + self._ahead(rank, width)
+                order = np.argsort(key)
+                key = key[order]
+            rank, distinct = self._number(order, key)
             width *= 2
             self.levels.append((width, rank))
-        self.sa = order if distinct == n else np.argsort(rank * n + np.arange(n))
+        self.sa = order if distinct == n or (n and 3 * place_bits <= 63 and len(self.levels) > 1) else np.argsort(rank * n + self.places)
         before = np.concatenate(([0], symbols[:-1]))
         self.bwt = before[self.sa]
         self.heads = np.flatnonzero(np.concatenate(([True], (self.bwt[1:] != self.bwt[:-1]) | (self.bwt[1:] == 0)))) if n else ends
-        self.common = self._common()
+        self.common = self._common(least)
 
     def _ahead(self, rank: np.ndarray, width: int) -> np.ndarray:
         """rank `width` places on, 0 beyond the string's end."""
         out = np.zeros_like(rank)
-        out[:-width or None] = rank[width:]
-        out[np.arange(len(rank)) + width > self.stop] = 0
+        out[:-width] = rank[width:]
+        out *= self.room >= width
         return out
 
     @staticmethod
-    def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        order = np.argsort(key)
-        ordered = key[order]
-        numbers = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        rank = np.empty(len(key), np.int64)
+    def _number(order: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ranks from 1 by ordered keys, and how many differ."""
+        numbers = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(order)]
+        rank = np.empty(len(order), np.int64)
         rank[order] = numbers
-        return order, rank, int(numbers[-1]) if len(key) else 0
+        return rank, int(numbers[-1]) if len(order) else 0
 
     def _shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at p and q."""
-        shared, room = np.zeros(len(p), np.int64), np.minimum(self.stop[p] - p, self.stop[q] - q)
+        shared, room = np.zeros(len(p), np.int64), np.minimum(self.room[p], self.room[q])
         last = len(self.symbols) - 1
         for width, rank in reversed(self.levels):
-            at = np.minimum(shared, np.maximum(room - 1, 0))
-            same = (shared + width <= room) & (rank[np.minimum(p + at, last)] == rank[np.minimum(q + at, last)])
-            shared[same] += width
+            same = (shared + width <= room) & (rank[np.minimum(p + shared, last)] == rank[np.minimum(q + shared, last)])
+            shared += width * same
         for _ in range(self.levels[0][0]):
-            more = shared < room
-            more[more] = self.symbols[p[more] + shared[more]] == self.symbols[q[more] + shared[more]]
-            if not more.any():
+            more = np.flatnonzero(shared < room)
+            more = more[self.symbols[p[more] + shared[more]] == self.symbols[q[more] + shared[more]]]
+            if not len(more):
                 break
             shared[more] += 1
         return shared
 
-    def _common(self) -> np.ndarray:
+    def _common(self, least: int) -> np.ndarray:
         n = len(self.sa)
         if not n:
             return np.empty(0, np.int64)
         at = self.heads[1:]
+        coarse = [rank for width, rank in self.levels if width <= least]
+        if coarse:  # neighbours that differ this early share less than `least`, and so do all that follow from them
+            at = at[coarse[-1][self.sa[at]] == coarse[-1][self.sa[at - 1]]]
         known = np.zeros(n, np.int64)
         known[self.sa[at]] = self._shared(self.sa[at], self.sa[at - 1])
         measured = np.zeros(n, bool)
         measured[self.sa[self.heads]] = True
-        source = np.maximum.accumulate(np.where(measured, np.arange(n), 0))
-        return np.maximum(known[source] - (np.arange(n) - source), 0)
+        source = np.maximum.accumulate(np.where(measured, self.places, 0))
+        return np.maximum(known[source] - (self.places - source), 0)
 
     def classes(self, length: int) -> np.ndarray:
-        """For each suffix in order, a number that suffixes with equal first `length` symbols share."""
+        """For each suffix in order, a number that suffixes with equal first `length` symbols share; length is at least `least`."""
         return np.cumsum(self.common[self.sa] < length)
