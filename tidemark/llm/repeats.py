@@ -102,7 +102,7 @@ def anchor_rows(docs: DataFrame, hashes: Callable[[str], np.ndarray], length: in
 
 
 def settle(rows: DataFrame, first_stays: bool) -> DataFrame:
-    """Marks and contexts asked for, from a stream of rows in order; state is the last context of each batch."""
+    """Marks and contexts asked for, from a stream of rows in order; the rows of the last gram are held until it ends."""
 
     def decide(r: dict[str, np.ndarray], n: int) -> pd.DataFrame:
         """Decisions on the first n rows; those after them only tell how the last group goes on."""
