@@ -91,6 +91,25 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert got(ngram_join.digest(spark.createDataFrame(rows, DOCS)), "doc_id", "class_id", "n_links") == want(brute.near_groups(rows))
 
 
+def texts_with_a_passage(pairs=1500):
+    """Near copies at similarity 0.805, two by two, whose texts all hold one passage that is two thirds of them."""
+    rng = random.Random(23)
+    passage, rows = [f"p{i}" for i in range(120)], []
+    for i in range(pairs):
+        own = [f"o{rng.randrange(1 << 40)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:20] + [f"x{rng.randrange(1 << 40)}" for _ in range(15)] + own[35:]))]
+    return rows
+
+
+def test_ngram_join_of_texts_with_a_passage(spark):
+    rows = texts_with_a_passage()
+    one, two, other = (brute.shingles(rows[i][1]) for i in (0, 1, 2))
+    assert 0.8 < len(one & two) / len(one | two) < 0.81 and len(one & other) / len(one | other) < 0.5
+    out = got(ngram_join.digest(spark.createDataFrame(rows, DOCS).repartition(4)), "doc_id", "class_id", "n_links")
+    apart = {i for i, c, n in out if (c, n) != (i - i % 2, 1)}
+    assert len(out) == len(rows) and not apart
+
+
 def test_one_of_each(spark):
     rows = [(*r, "x") for r in near_copies()] + [(0, near_copies()[0][1], "x"), (500, None, "y"), (501, None, "y")]
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, DOCS + ", source string"))

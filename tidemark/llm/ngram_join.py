@@ -2,11 +2,10 @@
 
 1. Each text becomes the set of hashes of its SHINGLE-word runs. Documents with equal sets form a class, found by an
    aggregate; from here on one row stands for a class, so any number of copies is one row.
-2. LSH forest: TREES tries over minhash signatures of DEPTH values. Rows are sorted by (tree, label); range
-   partitioning by label and class spreads even a bucket that holds most rows. In each trie a class is tied to the next
-   two in order, as far as they share a prefix. Longest shared prefixes come next to each other; the prefix asked for
-   is shortened from DEPTH until a pair at the threshold shares it in some tree with probability TARGET.
-3. Ties whose estimated similarity is under LOOSE are dropped, the others' components are candidate groups.
+2. LSH forest: TREES tries over minhash signatures of DEPTH values. The prefix asked for is shortened from DEPTH until a
+   pair at the threshold shares it in some tree with probability TARGET. Classes that share it form a bucket.
+3. Every two classes of a bucket are compared by signature, in blocks as in 4, so that even a bucket that holds most rows
+   is spread. Those with an estimated similarity of at least LOOSE are tied; components of ties are candidate groups.
 4. Exact verification: the sets of a group's members meet, in blocks of at most BLOCK members, and every pair
    of a group is measured exactly once. A block returns, per member, how many documents it is linked with, and for each
    member one edge of the links' spanning forest, never the pairs.
@@ -35,6 +34,8 @@ TREES, DEPTH = 20, 8
 #: One byte of each of so many minhashes estimates the similarity; ties estimated lower are dropped.
 BYTES, LOOSE = 64, 0.55
 BLOCK = 1024
+#: Classes of a bucket up to which its pairs are listed one by one.
+FEW = 8
 U32 = np.uint32
 _random = np.random.default_rng(5)
 FLIP = _random.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(U32)
@@ -82,52 +83,81 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = shift
             for k in range(STOP):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + tries[:, k])
-            rest = np.zeros(TREES, np.uint64)
-            for k in range(STOP, DEPTH):
-                rest = (rest << np.uint64(16)) | (tries[:, k] >> np.uint64(16))
             d1, d2 = (np.bitwise_xor.reduce(mix(x * np.uint64(m))) + np.uint64(len(x)) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
             small = (s[:: TREES * DEPTH // BYTES][:BYTES] & U32(255)).astype(np.uint8)
-            out.append((i, h, int(d1.view(np.int64)), int(d2.view(np.int64)), len(x), small.tobytes(), np.stack([key, rest], 1).tobytes()))
+            out.append((i, h, int(d1.view(np.int64)), int(d2.view(np.int64)), len(x), small.tobytes(), key.tobytes()))
         yield pd.DataFrame(out, columns=["id", "h", "d1", "d2", "n", "small", "tries"]).astype({"d1": "Int64", "d2": "Int64"})
 
 
 def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            flat = np.frombuffer(b"".join(batch["tries"]), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"key": flat[:, 0], "rest": flat[:, 1], "ref": np.repeat(batch["ref"].to_numpy(), TREES)})
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["tries"]), np.int64), "ref": np.repeat(batch["ref"].to_numpy(), TREES)})
 
 
-def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole blocks, and where each block begins, with the end; rows come in order of keys."""
     held = None
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        fresh = 0 if held is None else len(held)
-        key, ref = rows["key"].to_numpy(), rows["ref"].to_numpy()
-        for gap in (1, 2):
-            b = np.arange(max(gap, fresh), len(rows))
-            b = b[(key[b] == key[b - gap]) & (ref[b] != ref[b - gap])]
-            yield pd.DataFrame({"a": ref[b], "b": ref[b - gap]})
-        held = rows.iloc[-2:]
+        if len(rows):
+            k = rows[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
+            if len(starts) > 1:
+                yield rows.iloc[: starts[-1]], starts
+            held = rows.iloc[starts[-1] :]
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            one, two = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BYTES) for c in ("one", "two"))
-            match = (one == two).mean(axis=1)
-            yield batch.loc[(match - 1 / 256) / (1 - 1 / 256) >= LOOSE, ["a", "b"]]
+def _alike(match: np.ndarray) -> np.ndarray:
+    """Whether signatures that agree in so many bytes estimate a similarity of at least LOOSE."""
+    return (match / BYTES - 1 / 256) / (1 - 1 / 256) >= LOOSE
+
+
+def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many bytes each signature of one agrees with each of two."""
+    match, rows, columns = np.zeros((len(one), len(two)), np.uint8), np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+    for k in range(BYTES):
+        match += rows[k][:, None] == columns[k][None, :]
+    return match
+
+
+def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Alike classes of each block: every pair where there are FEW, else each class with the least one connected with it."""
+    for rows, edges in _blocks(batches, ["key", "pair_low", "pair_high"]):
+        ref, side = rows["ref"].to_numpy(), rows["side"].to_numpy()
+        small = np.frombuffer(b"".join(rows["small"]), np.uint8).reshape(-1, BYTES)
+        sizes = np.diff(edges)
+        at, few = np.arange(len(ref)) - np.repeat(edges[:-1], sizes), np.repeat(sizes <= FEW, sizes)
+        for gap in range(1, FEW):
+            b = np.flatnonzero(few & (at >= gap))
+            b = b[_alike((small[b] == small[b - gap]).sum(axis=1))]
+            yield pd.DataFrame({"a": ref[b], "b": ref[b - gap]})
+        for low, high in zip(edges[:-1][sizes > FEW], edges[1:][sizes > FEW], strict=True):
+            s, r, x = side[low:high], ref[low:high], small[low:high]
+            one = np.flatnonzero(s == s.min())
+            two = np.flatnonzero(s == s.max())
+            links = np.zeros((len(r), len(r)), bool)
+            links[np.ix_(one, two)] = part = _alike(_agreeing(x[one], x[two]))
+            links[np.ix_(two, one)] = part.T
+            root = _forest(links)
+            yield pd.DataFrame({"a": r, "b": r[root]})
+
+
+def paired(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows (columns, side, parts) once for each pair of parts that theirs is in, with pair_low and pair_high."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    return rows.select("*", other).select(*columns, "side", F.least("side", "other").alias("pair_low"), F.greatest("side", "other").alias("pair_high"))
 
 
 def candidate_ties(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that stand close in some trie and look alike."""
-    rows = classes.select("ref", "tries").mapInPandas(_labels, "key long, rest long, ref long")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ties = rows.repartitionByRange(n, "key", "rest", "ref").sortWithinPartitions("key", "rest", "ref").mapInPandas(_ties, "a long, b long")
-    ties = ties.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    small = classes.select("ref", "small")
-    both = ties.join(small.select(F.col("ref").alias("a"), F.col("small").alias("one")), "a").join(small.select(F.col("ref").alias("b"), F.col("small").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInPandas(_alike, "a long, b long")
+    """Edges (a, b) between classes that share a bucket and look alike. Every two classes of a bucket meet, in blocks as the members of a group do."""
+    rows = classes.select("ref", "tries").mapInPandas(_labels, "key long, ref long")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    held = rows.join(buckets, "key").join(classes.select("ref", "small"), "ref").withColumn("side", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
+    keys = ("key", "pair_low", "pair_high")
+    return paired(held, "key", "ref", "small").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_ties, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -190,16 +220,9 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             links &= side[:, None] != side[None, :]
         return pd.DataFrame({"ref": ref, "links": links @ rows["copies"].to_numpy(np.int64), "root": ref[_forest(links)]})
 
-    keys, held = ["root", "pair_low", "pair_high"], None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        k = rows[keys].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1)))) if len(rows) else np.empty(0, np.int64)
-        for low, high in zip(starts[:-1], starts[1:], strict=True):
+    for rows, edges in _blocks(batches, ["root", "pair_low", "pair_high"]):
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
             yield block(rows.iloc[low:high])
-        held = rows.iloc[starts[-1] :] if len(starts) else rows
-    if held is not None and len(held):
-        yield block(held)
 
 
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,10 +247,8 @@ def join(df: DataFrame) -> DataFrame:
     members = groups.join(sizes, "root").join(classes.select("ref", "first", "copies"), F.col("node") == F.col("ref"))
     members = members.select("root", "ref", "copies", "parts", F.col("first.id").alias("id"), F.col("first.h").alias("h"), F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int").alias("side"))
     held = docs.join(members, ["id", "h"]).select("root", "ref", "copies", "parts", "side", "text").mapInPandas(_items, "root long, ref long, copies long, parts int, side int, items binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    paired = held.select("*", other).select("root", "ref", "copies", "side", "items", F.least("side", "other").alias("pair_low"), F.greatest("side", "other").alias("pair_high"))
     keys = ("root", "pair_low", "pair_high")
-    checked = cut(paired.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify, "ref long, links long, root long"))
+    checked = cut(paired(held, "root", "ref", "copies", "items").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify, "ref long, links long, root long"))
     links = checked.groupBy("ref").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("ref").alias("a"), F.col("root").alias("b")))
     known = classes.select("ref", "d1", "d2", "first", "copies").join(links, "ref", "left").join(roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
