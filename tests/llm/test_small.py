@@ -49,6 +49,19 @@ def test_large_groups(docs, rows, monkeypatch, indexed, compared):
     assert got(suffix_index.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(rows))
 
 
+def test_large_groups_of_repeated_rows(spark, monkeypatch):
+    """A row that is repeated sends its contexts as often, so a group can be too large for a task that isn't by its different rows."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(45)]
+    rows = [(1, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)]))] * 60
+    rows += [(i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(2, 6)]
+    monkeypatch.setattr(repeats, "CHUNK", 300)
+    for module, brute_force, columns, most in ((substrings, brute.substring_dedup, ("doc_id", "n_words", "n_removed", "kept_sha256"), 400), (suffix_index, brute.suffix_dedup, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), 1500)):
+        monkeypatch.setattr(repeats, "COMPARED", most)
+        assert got(module.digest(spark.createDataFrame(rows, DOCS).repartition(3)), *columns) == want(brute_force(rows))
+
+
 def test_suffix_index_shares():
     rng = random.Random(9)
     for _ in range(30):

@@ -230,9 +230,20 @@ def resolve(rows: DataFrame, length: int, dtype: type, first_stays: bool) -> Dat
     def symbols_in(r: pd.DataFrame) -> int:
         return int(r["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
 
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row repeated in the corpus sends its contexts as often; they come one after the other, and the first stays."""
+        before = None
+        for batch in batches:
+            if len(batch):
+                rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
+                new = _starts(*(rows[c].to_numpy() for c in ("g", "id", "place", "symbols")))
+                new[: len(rows) - len(batch)] = False
+                before = batch.iloc[-1:]
+                yield rows[new].reset_index(drop=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, passed_on = [], 0, None
-        for batch in batches:
+        for batch in once(batches):
             if passed_on is not None:
                 same = int(np.searchsorted(batch["g"].to_numpy(), passed_on, side="right"))
                 yield from windows(batch.iloc[:same])
@@ -255,7 +266,7 @@ def resolve(rows: DataFrame, length: int, dtype: type, first_stays: bool) -> Dat
         if held and sum(map(len, held)):
             yield index(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(run, MARKS)
+    return rows.repartition("g").sortWithinPartitions("g", "id", "place", "symbols").mapInPandas(run, MARKS)
 
 
 def compared(found: DataFrame, first_stays: bool) -> DataFrame:
