@@ -153,6 +153,23 @@ def test_pii_validators_and_context():
     assert near > plain >= pii.THRESHOLD
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFF today", " EUR 25", " 2024-01-15", " US", " BIC COBADEFFXXX EUR 12 A B C", ", BIC", ""])
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
+def test_pii_account_number_before_capitals_or_digits(number, after):
+    for before in ("IBAN ", "AB12 CDEF GHIJ ", "GB82 WEST 1234 5698 7654 32 "):
+        found = [x[1:3] for x in pii.spans_of(before + number + after) if x[0] == "iban"]
+        assert found[-1] == (len(before), len(before) + len(number)) and len(found) == 1 + before.startswith("GB")
+    assert pii.redact(number + after) == "[IBAN]" + after
+
+
+def test_pii_account_number_of_unknown_country():
+    rest = "12345678901234567"
+    number = next(n for n in (f"ZZ{k:02}{rest}" for k in range(2, 99)) if pii.mod97(n))
+    assert [x[:3] for x in pii.spans_of(number + " BIC COBADEFF")] == [("iban", 0, len(number))]
+    assert pii.spans_of(number[:-1] + "0 BIC COBADEFF") == []
+    pii.spans_of("AB12 " * 50_000)
+
+
 def test_pii_digest_and_redaction(docs, rows, spark):
     out = {r.doc_id: r for r in pii.digest(docs).collect()}
     assert len(out) == len({i for i, _ in rows})

@@ -30,9 +30,18 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+NO_WORD = re.compile(r"(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+)(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
+#: Lengths of account numbers by country; one that isn't here may have any.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: Words that raise the score of a span when they stand within CONTEXT_CHARS before it or after it.
 CONTEXT = {
     "email": ("mail", "e-mail", "contact", "write"),
@@ -82,6 +91,23 @@ def _octets(address: str) -> bool:
     return all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in address.split(".")))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, leftmost first, to a word's end that passes mod-97: at the country's length, else the longest one; the
+    longest that passes where the country isn't known. What a failed one runs over is searched too."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        ends = [m.start(1) + k + 1 for k, c in enumerate(m[1]) if c != " "]
+        compact, usual = m[0] + m[1].replace(" ", ""), IBAN_LENGTHS.get(m[0][:2])
+        tried = [n for n in range(len(compact), 14, -1) if NO_WORD.match(text, ends[n - 5])]
+        for n in tried if usual is None else [n for n in (usual, *tried[:1]) if n in tried]:
+            if mod97(compact[:n]):
+                done = ends[n - 5]
+                yield m.start(), done
+                break
+
+
 def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose pattern and validator hold, by kind."""
     if "@" in text:
@@ -102,10 +128,8 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
     for m in LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        compact = m[0].replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
