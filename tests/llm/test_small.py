@@ -3,13 +3,14 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import fingerprints, mixing, ngram_join, packing, pii, quality, repeats, substrings, suffix_index, suffixes, toxicity, urls
+from tidemark.llm import fingerprints, mixing, ngram_join, packing, pii, quality, repeats, substrings, suffix_index, toxicity, urls
 
 DOCS = "doc_id long, text string"
 
@@ -40,40 +41,84 @@ def test_suffix_dedup(docs, rows):
     assert got(suffix_index.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(rows))
 
 
-@pytest.mark.parametrize(("indexed", "compared"), [(400, 1 << 30), (400, 900)])
-def test_large_groups(docs, rows, monkeypatch, indexed, compared):
-    """Groups compared by hashes in a task, and groups whose windows are passed on."""
-    for name, value in (("CHUNK", 300), ("INDEXED", indexed), ("COMPARED", compared), ("TEXTS", 2000)):
+SUBSTRINGS = ("doc_id", "n_words", "n_removed", "kept_sha256")
+SUFFIXES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("budget", [1 << 30, 900, 0])
+def test_large_groups(docs, rows, monkeypatch, budget):
+    """Groups indexed in many parts, and groups whose prefix is lengthened to the whole window: some of them, or all."""
+    for name, value in (("CHUNK", 300), ("BUDGET", budget), ("TEXTS", 2000)):
         monkeypatch.setattr(repeats, name, value)
-    assert got(substrings.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.substring_dedup(rows))
-    assert got(suffix_index.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(rows))
+    assert got(substrings.digest(docs), *SUBSTRINGS) == want(brute.substring_dedup(rows))
+    assert got(suffix_index.digest(docs), *SUFFIXES) == want(brute.suffix_dedup(rows))
 
 
-def test_large_groups_of_repeated_rows(spark, monkeypatch):
-    """A row that is repeated sends its contexts as often, so a group can be too large for a task that isn't by its different rows."""
-    rng = random.Random(31)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    passage = [word() for _ in range(45)]
-    rows = [(1, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)]))] * 60
-    rows += [(i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(2, 6)]
-    monkeypatch.setattr(repeats, "CHUNK", 300)
-    for module, brute_force, columns, most in ((substrings, brute.substring_dedup, ("doc_id", "n_words", "n_removed", "kept_sha256"), 400), (suffix_index, brute.suffix_dedup, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), 1500)):
-        monkeypatch.setattr(repeats, "COMPARED", most)
-        assert got(module.digest(spark.createDataFrame(rows, DOCS).repartition(3)), *columns) == want(brute_force(rows))
+def words_of_six(rng):
+    return lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
 
 
-def test_suffix_index_shares():
-    rng = random.Random(9)
+@pytest.mark.parametrize("budget", [1 << 20, 400])
+def test_large_groups_of_repeated_rows(spark, monkeypatch, budget):
+    """A row that is repeated sends its strings as often."""
+    some = words_of_six(random.Random(31))
+    passage = some(45)
+    rows = [(1, " ".join(some(40) + passage + some(40)))] * 60
+    rows += [(i, " ".join(some(40) + passage + some(40))) for i in range(2, 6)]
+    for name, value in (("CHUNK", 300), ("BUDGET", budget)):
+        monkeypatch.setattr(repeats, name, value)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert got(substrings.digest(df), *SUBSTRINGS) == want(brute.substring_dedup(rows))
+    assert got(suffix_index.digest(df), *SUFFIXES) == want(brute.suffix_dedup(rows))
+
+
+@pytest.mark.parametrize("same_id", [7, None])
+def test_different_texts_under_one_id(spark, same_id):
+    """They are different documents: one that repeats nothing keeps all its text."""
+    rng = random.Random(37)
+    some = words_of_six(rng)
+    passage = some(60)
+    rows = [(same_id, " ".join(some(rng.choice([30, 80])) + (passage if k % 3 == 0 else some(60)))) for k in range(1000 if same_id is None else 40)]
+    rows += [(1, " ".join(passage) + " zz yy"), (same_id, "one two"), rows[0]]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    assert got(substrings.digest(df), *SUBSTRINGS) == want(brute.substring_dedup(rows))
+    assert got(suffix_index.digest(df), *SUFFIXES) == want(brute.suffix_dedup(rows))
+
+
+def some_strings(seed):
+    rng = random.Random(seed)
     for _ in range(30):
         strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) * rng.randint(1, 3) for _ in range(rng.randint(1, 12))]
-        symbols = np.array([ord(c) - 96 if c != "$" else 0 for c in "".join(s + "$" for s in strings)], np.int64)
-        x, text = suffixes.SuffixIndex(symbols, 2, 5), "".join(s + "$" for s in strings)
-        tail = lambda p: text[p : text.index("$", p)]
+        text = "".join(s + "$" for s in strings)
+        yield strings, text, np.array([ord(c) - 96 if c != "$" else 0 for c in text], np.int32), lambda p, text=text: text[p : text.index("$", p)]
+
+
+def test_suffix_tree():
+    for _, text, symbols, tail in some_strings(9):
+        tree = substrings.SuffixTree(symbols, 5)
+        order = sorted(range(len(text)), key=lambda p: (tail(p), p))
+        assert list(tree.leaves) == order
+        for k, p in enumerate(order):
+            n = max(len(os.path.commonprefix([tail(q), tail(p)])) for q in order[max(0, k - 1) : k + 2] if q != p) if len(order) > 1 else 0
+            assert tree.depth[p] == n if n >= 5 else tree.depth[p] < 5
+
+
+def test_run_index():
+    for _, text, symbols, tail in some_strings(10):
+        x = suffix_index.RunIndex(symbols, 5)
         order = sorted(range(len(text)), key=lambda p: (tail(p), p))
-        assert list(x.sa) == order
+        transform = [symbols[p - 1] if p else 0 for p in order]
+        assert list(np.repeat(*x.runs)) == transform and len(x.sampled) == len(x.runs[0]) <= len(text)
+        neighbour, match = x.statistics(0, len(text))
         for before, p in zip(order, order[1:]):
             n = len(os.path.commonprefix([tail(before), tail(p)]))
-            assert x.common[p] == n if n >= 5 else x.common[p] < 5
+            assert neighbour[p] == before and (match[p] == n if n >= 5 else match[p] < 5)
+        places, classes = x.chains(6)
+        by_string = {}
+        for p in range(len(text)):
+            if len(tail(p)) >= 6:
+                by_string.setdefault(tail(p)[:6], []).append(p)
+        assert sorted(map(sorted, (places[classes == c].tolist() for c in set(classes.tolist())))) == sorted(v for v in by_string.values() if len(v) > 1)
 
 
 def test_ngram_join_of_awkward_texts(docs, rows):
@@ -302,14 +347,48 @@ def test_fingerprints(docs, rows):
 
 
 def test_fingerprints_add_up(spark):
-    one, two, three = "a b. c d.\ne f!", "g. h\n", "e f!\na b. c d."
+    one, two, three = "a b. c d.\n e f!", "g. h\n", " e f!\na b. c d."
     df = spark.createDataFrame([(one, two, one + "\n" + two, three)], "a string, b string, c string, d string")
     for c in "abcd":
         df = fingerprints.add_fingerprint(df, c, f"f{c}")
-    r = df.select(fingerprints.combine(F.col("fa"), F.col("fb")) == F.col("fc"), fingerprints.combine(F.col("fc"), F.col("fb"), -1) == F.col("fa"), F.col("fa") == F.col("fd"), F.col("fa") == F.col("fb")).first()
+    r = df.select((fingerprints.combine(F.col("fa"), F.col("fb")) == F.col("fc")).alias("x"), (fingerprints.combine(F.col("fc"), F.col("fb"), -1) == F.col("fa")).alias("y"), (F.col("fa") == F.col("fd")).alias("z"), (F.col("fa") == F.col("fb")).alias("w")).first()
     assert tuple(r) == (True, True, True, False)
 
 
+def test_fingerprints_of_long_texts(spark):
+    """Lanes neither overflow nor reach into each other."""
+    df = spark.createDataFrame([(1, "x\n" * 1_100_000), (2, "x\n" * 1_050_000), (3, "x\n" * 50_000), (4, "".join(f"s{i}. " for i in range(70_000)))], DOCS)
+    f = {r.doc_id: r.f for r in fingerprints.add_fingerprint(df, "text", "f").select("doc_id", "f").collect()}
+    counts = slice(fingerprints.STRONG, fingerprints.HEAD)
+    assert [sum(f[i][counts]) for i in (1, 2, 3, 4)] == [1_100_000, 1_050_000, 50_000, 70_000]
+    three = spark.createDataFrame([(f[1], f[2], f[3])], "a array<long>, b array<long>, c array<long>")
+    r = three.select(fingerprints.combine(F.col("a"), F.col("b"), -1).alias("x"), fingerprints.combine(F.col("b"), F.col("c")).alias("y"), "a", "c").first()
+    assert r.x[fingerprints.HEAD :] == r.c[fingerprints.HEAD :] and r.y[fingerprints.HEAD :] == r.a[fingerprints.HEAD :]
+
+
+def test_likeness_is_near_the_exact_share(spark):
+    """Against inner products of the texts' exact item counts."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(120):
+        base = [f"sentence {rng.randrange(10**9)} is here" for _ in range(rng.randint(1, 60))]
+        rows += [(2 * k, ". ".join(base)), (2 * k + 1, ". ".join(base[: int(len(base) * rng.random())] + [f"other {rng.randrange(10**9)}" for _ in range(rng.randint(0, 30))]))]
+    rows += [(500, " ".join(f"w{i}" for i in range(900))), (501, " ".join(f"w{i}" for i in range(300, 1200)))]  # without marks
+    out = {r.doc_id: r.near_next for r in fingerprints.digest(spark.createDataFrame(rows, DOCS)).collect()}
+
+    def items(text):
+        s = text.split(". ")
+        w = text.split(" ")
+        return Counter(s if len(s) > 1 or len(text) <= fingerprints.LONG else zip(w, w[1:], w[2:]))
+
+    for (i, one), (_, two) in list(zip(rows, rows[1:]))[::2]:
+        a, b = items(one), items(two)
+        ab, aa, bb = (sum(x[k] * y[k] for k in x) for x, y in ((a, b), (a, a), (b, b)))
+        assert abs(out[i] - ab / (aa + bb - ab)) < 0.15
+    gaps = [abs(out[i]) for i, _ in rows[1:240:2]]
+    assert max(gaps) < 0.2 and sum(gaps) / len(gaps) < 0.05
+
+
 def test_likeness_follows_shared_sentences(spark):
     sentences = [f"sentence number {i} says {i * i}" for i in range(60)]
     text = lambda low, high: ". ".join(sentences[low:high])

@@ -1,17 +1,17 @@
-"""Repeated windows of a corpus, found in bounded groups. Both substring operators build on this.
-
-1. Each text's windows are stood for by anchors (see anchors.py); rows (g, c, document, place) go to the partition of
-   their gram hash g. Before that, rows of one batch that are equal in (g, c) are settled where they are, so a
-   passage that a third of the documents hold sends one row per batch and not one per document.
-2. Sorted by (g, c, document, place), rows are streamed: where a context repeats whole, its windows are marked.
-   Contexts whose gram also stands in a different context may share some of their windows; they are asked for.
-3. The contexts asked for, a few per cent of the text, are cut from it and meet in the partition of
-   their g, where an index of their suffixes (suffixes.py) tells exactly which windows are equal.
-4. Marks meet their document again, and what they cover is removed.
-
-Texts are shuffled once, by document. Nothing is collected; per document only lists of its own marks are.
-
-Rows are known by doc_id and 16 bits of a hash of the text, so repeated ids with other texts stay apart.
+"""Groups in which repeated windows of a corpus meet. Both substring operators get their candidates here, and each judges them by its own index.
+
+1. Each text's windows are stood for by anchors (see anchors.py): the suffix at an anchor begins with a gram g, and its context, the
+   stretch of all windows that share the anchor, has a hash c. Equal windows lie at equal places around equal grams.
+2. A counting pass drops grams that occur once. Where one occurs again, contexts that are equal are one string with several
+   places, known from its first one.
+3. These strings, a part of the text, are cut from it and meet in the partition of their gram, where the operator's index
+   tells which of their windows repeat. A gram whose strings are over BUDGET symbols would not fit in memory: there, the prefix is lengthened from
+   the gram to the whole window, so windows meet one by one in an aggregate.
+4. What holds of a string holds at each of its places. Marks meet their document, and what they cover is removed.
+
+Texts are shuffled once, by document. Nothing is collected on the driver. A row is known by doc_id and a 64-bit hash of its text.
+Of rows of one batch with equal contexts only one goes to the gram's partition, so a passage that a third of the documents hold sends one row a batch
+there and not one a document.
 """
 
 from __future__ import annotations
@@ -21,37 +21,36 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import anchors_of, gram_hashes, mix
-from tidemark.llm.common import NO_ID, cut
-from tidemark.llm.suffixes import SuffixIndex
+from tidemark.llm.common import cut, known_id
 
-ROWS = "part long, c long, id long, place long, kind int"
-FOUND = "id long, h int, g long, place long, kind int"
-CONTEXTS = "g long, id long, h int, place long, kind int, symbols binary"
-MARKS = "id long, h int, low long, high long, w1 long, w2 long, open boolean"
-#: Kinds of rows: to be compared; settled mark; stands for settled ones and is marked itself; asked for.
-OPEN, MARK, WITNESS, ASKED = 0, 1, 2, 3
-#: Context symbols compared at once; of a group indexed at once; of a group compared in one task. Characters of text whose anchors are made at once.
-CHUNK, INDEXED, COMPARED, TEXTS = 1 << 20, 1 << 21, 6 << 20, 8 << 20
-WIDTH_BITS, HASH_BITS = 8, 16
+ROWS = "g long, c long, id long, h long, place long, kind int"
+CONTEXTS = "g long, c long, id long, place long, many boolean, symbols binary"
+#: Of a string (g, c) with its first place: a stretch from low to high, counted in symbols from the string's start.
+STRETCHES = "g long, c long, id long, place long, low int, high int"
+WINDOWS = "g long, c long, id long, place long, many boolean, low int, w1 long, w2 long"
+#: Kinds of rows: the only one of its batch with this context; stands for others of its batch too; from SPREAD on, one of those others.
+ALONE, STANDS, SPREAD = 0, 1, 2
+#: Symbols indexed at once; most of them in one group; characters of text whose anchors are made at once; partitions over which one batch's others are spread.
+CHUNK, BUDGET, TEXTS, SALTS = 1 << 19, 1 << 20, 8 << 20, 1 << 10
+WIDTH_BITS = 8
 
 
-def pack(first: np.ndarray, width: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of an anchor: its first window, how many windows follow, and the document's hash."""
-    return (first << (WIDTH_BITS + HASH_BITS)) | (width << HASH_BITS) | h
+def first_of(place: Column) -> Column:
+    return F.shiftright(place, WIDTH_BITS)
 
 
-def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> (WIDTH_BITS + HASH_BITS), (place >> HASH_BITS) & ((1 << WIDTH_BITS) - 1), place & ((1 << HASH_BITS) - 1)
+def width_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << WIDTH_BITS) - 1))
 
 
 def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, h, text of each row; a null id becomes the least long, a null text is empty."""
     clean = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.pmod(F.xxhash64(clean), F.lit(1 << HASH_BITS)), F.lit(0)).cast("int").alias("h"), clean.alias("text"))
+    return df.select(known_id(F.col(doc_id)).alias("id"), F.xxhash64(clean).alias("h"), clean.alias("text"))
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -70,8 +69,8 @@ def portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield rows
 
 
-def anchor_rows(docs: DataFrame, hashes: Callable[[str], np.ndarray], length: int, gram: int, first_stays: bool) -> DataFrame:
-    """Rows of all anchors. first_stays: the earliest of equal windows is no repeat."""
+def anchor_rows(docs: DataFrame, hashes: Callable[[str], np.ndarray], length: int, gram: int) -> DataFrame:
+    """Rows of all anchors. place: the first window, and in the last WIDTH_BITS how many more share the anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in chain.from_iterable(map(portions, batches)):
@@ -82,231 +81,149 @@ def anchor_rows(docs: DataFrame, hashes: Callable[[str], np.ndarray], length: in
             g, c = (np.concatenate([getattr(a, k) for a, _, _ in got]).view(np.int64) for k in ("g", "c"))
             first, last = (np.concatenate([getattr(a, k) for a, _, _ in got]) for k in ("first", "last"))
             ids, hs = (np.repeat(np.array([x[k] for x in got], np.int64), sizes) for k in (1, 2))
-            place = pack(first, last - first, hs)
+            place = (first << WIDTH_BITS) | (last - first)
             order = np.lexsort((place, ids, c, g))
-            g, c, ids, place, first = (x[order] for x in (g, c, ids, place, first))
+            g, c, ids, hs, place = (x[order] for x in (g, c, ids, hs, place))
             new = _starts(g, c)
-            kind = np.full(len(g), OPEN, np.int32)
-            if first_stays:
-                head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-                kind[~new & ((ids != ids[head]) | (first != first[head]))] = MARK
-            else:
-                again = np.zeros(len(g), bool)
-                again[:-1] = ~new[1:]
-                kind[~new] = MARK
-                kind[new & again] = WITNESS
-            part = np.where(kind == MARK, mix((ids * 31 + place).view(np.uint64)).view(np.int64), g)
-            yield pd.DataFrame({"part": part, "c": c, "id": ids, "place": place, "kind": kind})
+            more = np.append(~new[1:], False)
+            kind = np.where(new, np.where(more, STANDS, ALONE), SPREAD + np.arange(len(g)) % SALTS).astype(np.int32)
+            yield pd.DataFrame({"g": g, "c": c, "id": ids, "h": hs, "place": place, "kind": kind})
 
     return docs.mapInPandas(run, ROWS)
 
 
-def settle(rows: DataFrame, first_stays: bool) -> DataFrame:
-    """Marks and contexts asked for, from a stream of rows in order; the rows of the last gram are held until it ends."""
-
-    def decide(r: dict[str, np.ndarray], n: int) -> pd.DataFrame:
-        """Decisions on the first n rows; those after them only tell how the last group goes on."""
-        g, c, ids, place, kind = (r[k] for k in ("part", "c", "id", "place", "kind"))
-        marked = kind == MARK
-        new = _starts(g, c)
-        group = np.cumsum(_starts(g))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-        several = np.bincount(group, weights=new)[group] > 1
-        if first_stays:
-            later = ~new & ((ids != ids[head]) | (place >> (WIDTH_BITS + HASH_BITS) != place[head] >> (WIDTH_BITS + HASH_BITS)))
-            mark, ask = marked | later, new & several & ~marked
-            kinds = np.where(mark, MARK, ASKED)
-        else:
-            run = np.cumsum(new)
-            count = np.bincount(run)[run] + np.bincount(run, weights=kind == WITNESS)[run]
-            mark = marked | (count > 1)
-            ask = new & several & ~marked
-            kinds = np.where(mark & ask, WITNESS, np.where(mark, MARK, ASKED))
-        keep = np.flatnonzero((mark | ask)[:n])
-        return pd.DataFrame({"id": ids[keep], "h": (place[keep] & ((1 << HASH_BITS) - 1)).astype(np.int32), "g": g[keep], "place": place[keep], "kind": kinds[keep].astype(np.int32)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            part = held["part"].to_numpy()
-            n = int(np.searchsorted(part, part[-1])) if len(part) else 0  # the last group may go on
-            if n:
-                yield decide({k: held[k].to_numpy()[:n] for k in held}, n)
-                held = held.iloc[n:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield decide({k: held[k].to_numpy() for k in held}, len(held))
-
-    return rows.repartition("part").sortWithinPartitions("part", "c", "id", "place").mapInPandas(run, FOUND)
-
+def places_of_repeats(rows: DataFrame) -> DataFrame:
+    """The rows whose gram occurs again, with `rep` at the first place of each string (g, c), and there with `many` if it has more places."""
+    other = F.col("kind") >= SPREAD
+    order = Window.partitionBy("g", "salt").orderBy("c", "id", "place")
+    x = rows.withColumn("salt", F.when(other, F.col("kind")).otherwise(0))
+    x = x.withColumns({"before": F.lag("c").over(order), "after": F.lead("c").over(order)})
+    x = x.where((F.col("kind") != ALONE) | F.col("before").isNotNull() | F.col("after").isNotNull())
+    rep = ~other & (F.col("before").isNull() | (F.col("before") != F.col("c")))
+    many = (F.col("kind") == STANDS) | F.coalesce(F.col("after") == F.col("c"), F.lit(False))
+    return x.select("g", "c", "id", "h", "place", rep.alias("rep"), (rep & many).alias("many"))
 
-def per_document(found: DataFrame) -> DataFrame:
-    """Marks and contexts asked for of each document, as lists; written, so that later steps start from here."""
-    asked = F.when(F.col("kind") != MARK, F.struct("g", "place", "kind"))
-    mark = F.when(F.col("kind").isin(MARK, WITNESS), F.shiftright("place", HASH_BITS))
-    return cut(found.groupBy("id", "h").agg(F.collect_list(mark).alias("marks"), F.collect_list(asked).alias("asked")))
 
-
-def contexts(docs: DataFrame, lists: DataFrame, symbols: Callable[[str], np.ndarray], length: int) -> DataFrame:
-    """The symbols of each context asked for."""
+def contexts(docs: DataFrame, reps: DataFrame, symbols: Callable[[str], np.ndarray], length: int) -> DataFrame:
+    """The symbols of each string, cut from the document of its first place; `docs` is partitioned by (id, h)."""
+    columns = ["g", "c", "id", "place", "many", "symbols"]
+    wanted = reps.groupBy("id", "h").agg(F.collect_list(F.struct("g", "c", "place", "many")).alias("asked"))  # at most the document's own anchors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("g", "id", "h", "place", "kind", "symbols")}
-            for i, h, text, asked in zip(batch["id"], batch["h"], batch["text"], batch["asked"], strict=True):
+            out: list[tuple] = []
+            for i, text, asked in zip(batch["id"], batch["text"], batch["asked"], strict=True):
                 all_symbols = symbols(text)
                 for a in asked:
-                    first, width, _ = unpack(a["place"])
-                    for k, v in (("g", a["g"]), ("id", i), ("h", h), ("place", a["place"]), ("kind", a["kind"]), ("symbols", all_symbols[first : first + width + length].tobytes())):
-                        out[k].append(v)
-            if out["g"]:
-                yield pd.DataFrame(out)
+                    first, width = a["place"] >> WIDTH_BITS, a["place"] & ((1 << WIDTH_BITS) - 1)
+                    out.append((a["g"], a["c"], i, a["place"], a["many"], all_symbols[first : first + width + length].tobytes()))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
-    wanted = lists.where(F.size("asked") > 0).select("id", "h", "asked")
-    return docs.join(wanted, ["id", "h"]).select("id", "h", "text", "asked").mapInPandas(run, CONTEXTS)
+    return docs.join(wanted, ["id", "h"]).select("id", "text", "asked").mapInPandas(run, CONTEXTS)
 
 
-def _numbered(symbols: np.ndarray) -> np.ndarray:
-    """Symbols as numbers from 1 in order, without gaps."""
-    if symbols.dtype == np.uint8:
-        table = np.cumsum(np.bincount(symbols, minlength=256) > 0)
-        return table[symbols]
-    return np.unique(symbols, return_inverse=True)[1] + 1
+def stretches(cov: np.ndarray, owner: np.ndarray, begins: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    """Covered stretches of joined strings as rows of STRETCHES; begins: where each string starts."""
+    edge = np.diff(np.concatenate(([0], cov.view(np.int8), [0])))
+    low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a string's end is never covered, so stretches stay in theirs
+    who = owner[low]
+    found = rows.iloc[who][["g", "c", "id", "place"]]
+    return found.assign(low=(low - begins[who]).astype(np.int32), high=(high - begins[who]).astype(np.int32))
 
 
-def resolve(rows: DataFrame, length: int, dtype: type, first_stays: bool) -> DataFrame:
-    """Marked stretches (low to high, in symbols) of contexts: windows that another context also has.
-
-    Groups of over INDEXED symbols, such as a passage that very many documents hold, are compared by 128-bit hashes of their windows, which take a
-    fraction of an index's memory. Those of over COMPARED symbols are not held in one task at all: their windows go on as
-    rows (w1, w2), to be compared by an aggregate, see `compared`.
-    """
-
-    def hashed(x: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of each window of symbols."""
-        return [mix(gram_hashes(mix(x.astype(np.uint64) + np.uint64(seed)), length)[0]) for seed in (1, 1 << 40)]
-
-    def index(r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values(["id", "place"], kind="stable").reset_index(drop=True)
-        parts = [np.frombuffer(x, dtype) for x in r["symbols"]]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        flat = np.concatenate(parts)
-        symbols = np.zeros(starts[-1], np.int64)
-        symbols[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), sizes)] = _numbered(flat)
-        room = np.repeat(starts[1:] - 1, sizes + 1) - np.arange(len(symbols))
-        if len(symbols) <= INDEXED:
-            x = SuffixIndex(symbols, max(1, int(symbols.max()).bit_length()), length)
-            order, classes = x.sa, x.classes(length)
-        else:
-            w1, w2 = hashed(symbols)
-            order = np.flatnonzero(room >= length)
-            order = order[np.lexsort((order, w2[order], w1[order]))]
-            classes = np.cumsum(_starts(w1[order], w2[order]))
-        owner = np.repeat(np.arange(len(parts)), sizes + 1)
-        place = np.arange(len(symbols)) - starts[owner] + (r["place"].to_numpy() >> (WIDTH_BITS + HASH_BITS))[owner]
-        full = room >= length
-        marked = np.zeros(len(symbols), bool)
-        begin = np.flatnonzero(_starts(classes))
-        if first_stays:
-            earliest = np.minimum.reduceat(order, begin)[classes - classes[0]]
-            ids = r["id"].to_numpy()[owner]
-            marked[order] = (earliest < order) & ((ids[earliest] != ids[order]) | (place[earliest] != place[order]))
-        else:
-            marked[order] = np.diff(np.concatenate((begin, [len(classes)])))[classes - classes[0]] > 1
-            marked &= (r["kind"].to_numpy() == ASKED)[owner]
-        marked &= full
-        edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
-        low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a context's end is never marked, so runs stay in theirs
-        who = owner[low]
-        return pd.DataFrame({"id": r["id"].to_numpy()[who], "h": r["h"].to_numpy()[who], "low": place[low], "high": place[low] + (high - low) - 1 + length, "w1": None, "w2": None, "open": False})
-
-    def windows(r: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for i, h, place, kind, held in zip(r["id"], r["h"], r["place"], r["kind"], r["symbols"], strict=True):
-            w1, w2 = (w.view(np.int64) for w in hashed(np.frombuffer(held, dtype)))
-            low = np.arange(len(w1)) + (place >> (WIDTH_BITS + HASH_BITS))
-            yield pd.DataFrame({"id": i, "h": h, "low": low, "high": low + length, "w1": w1, "w2": w2, "open": kind == ASKED})
-
-    def symbols_in(r: pd.DataFrame) -> int:
-        return int(r["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
+def judged_in_groups(rows: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], dtype: type) -> DataFrame:
+    """Stretches by `judge`, which gets whole groups (rows of CONTEXTS in order of g, c), of CHUNK + BUDGET symbols at most."""
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row repeated in the corpus sends its contexts as often; they come one after the other, and the first stays."""
-        before = None
+        """A row that is repeated in the corpus sends its strings as often; they come one after the other, and the first stays."""
+        g = c = None
         for batch in batches:
             if len(batch):
-                rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
-                new = _starts(*(rows[c].to_numpy() for c in ("g", "id", "place", "symbols")))
-                new[: len(rows) - len(batch)] = False
-                before = batch.iloc[-1:]
-                yield rows[new].reset_index(drop=True)
+                new = _starts(batch["g"].to_numpy(), batch["c"].to_numpy())
+                new[0] = (batch["g"].iloc[0], batch["c"].iloc[0]) != (g, c)
+                g, c = batch["g"].iloc[-1], batch["c"].iloc[-1]
+                if new.any():
+                    yield batch[new].reset_index(drop=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, passed_on = [], 0, None
+        held, size = [], 0
         for batch in once(batches):
-            if passed_on is not None:
-                same = int(np.searchsorted(batch["g"].to_numpy(), passed_on, side="right"))
-                yield from windows(batch.iloc[:same])
-                batch = batch.iloc[same:]
-                passed_on = passed_on if not len(batch) else None
             held.append(batch)
-            size += symbols_in(batch)
-            if size < CHUNK or not sum(map(len, held)):
+            size += int(batch["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
+            if size < CHUNK:
                 continue
             every = pd.concat(held, ignore_index=True)
-            last = every["g"].iloc[-1]
-            n = int(np.searchsorted(every["g"].to_numpy(), last))
-            if n:
-                yield index(every.iloc[:n])
-            held = [every.iloc[n:]]
-            size = symbols_in(held[0])
-            if size > COMPARED:
-                yield from windows(held[0])
-                held, size, passed_on = [], 0, last
-        if held and sum(map(len, held)):
-            yield index(pd.concat(held, ignore_index=True))
-
-    return rows.repartition("g").sortWithinPartitions("g", "id", "place", "symbols").mapInPandas(run, MARKS)
-
-
-def compared(found: DataFrame, first_stays: bool) -> DataFrame:
-    """id, h, low, high of all marks: those settled in groups, and those of windows passed on.
-
-    Equal windows meet in an aggregate that keeps only the earliest and their number, with partial results before the
-    shuffle; the join back has one row per window on one side, so that a hot window's other side can be split.
-    """
-    settled = found.where("w1 is null").select("id", "h", "low", "high")
-    rows = found.where("w1 is not null")
-    facts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "low")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = rows.join(facts, ["w1", "w2"])
-    again = F.struct("id", "low") > F.col("first") if first_stays else F.col("open")
-    return settled.unionByName(both.where(again).select("id", "h", "low", "high"))
+            part = (every["symbols"].map(len).cumsum() // (CHUNK * np.dtype(dtype).itemsize)).to_numpy()
+            g = every["g"].to_numpy()
+            heads = np.flatnonzero(_starts(g))
+            cuts = [h for h, before in zip(heads[1:], heads[:-1], strict=True) if part[h] != part[before]]
+            if len(heads) > 1 and (not cuts or cuts[-1] != heads[-1]):
+                cuts.append(heads[-1])
+            for low, high in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield judge(every.iloc[low:high].reset_index(drop=True))
+            held = [every.iloc[cuts[-1] if cuts else 0 :]]  # the last group may go on
+            size = int(held[0]["symbols"].map(len).sum()) // np.dtype(dtype).itemsize
+        if held:
+            yield judge(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("g").sortWithinPartitions("g", "c").mapInPandas(run, STRETCHES)
+
+
+def judged_by_window(rows: DataFrame, length: int, dtype: type, first_stays: bool) -> DataFrame:
+    """Stretches in groups over BUDGET: their prefix is lengthened to the whole window (two hashes of 64 bits), and each such group
+    is a single node whose leaves are counted, with partial results before the shuffle."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, c, i, place, many, held in batch.itertuples(index=False, name=None):
+                x = np.frombuffer(held, dtype).astype(np.uint64)
+                w1, w2 = (mix(gram_hashes(mix(x + np.uint64(seed)), length)[0]).view(np.int64) for seed in (1, 1 << 40))
+                yield pd.DataFrame({"g": g, "c": c, "id": i, "place": place, "many": many, "low": np.arange(len(w1), dtype=np.int32), "w1": w1, "w2": w2})
 
-def marked_documents(df: DataFrame, hashes: Callable[[str], np.ndarray], symbols: Callable[[str], np.ndarray], length: int, gram: int, dtype: type, first_stays: bool) -> DataFrame:
-    """id, text, marks (list of place * 256 + width), more (list of low, high) of each document.
+    windows = cut(rows.dropDuplicates(["g", "c"]).select("g", "c", "id", "place", "many", "symbols").mapInPandas(run, WINDOWS))
+    at = F.struct("id", (first_of(F.col("place")) + F.col("low")).alias("at"))
+    facts = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.max("many").alias("often"))
+    facts = facts.where("n > 1" if first_stays else "n > 1 or often")
+    both = windows.join(facts, ["w1", "w2"])
+    both = both.where(at > F.col("first")) if first_stays else both
+    return both.select("g", "c", "id", "place", "low", (F.col("low") + length).cast("int").alias("high"))
 
-    hashes gives a text's symbols as 64-bit hashes, symbols as what the suffix index compares (dtype).
-    """
-    docs = keyed(df)
-    lists = per_document(settle(anchor_rows(docs, hashes, length, gram, first_stays), first_stays))
-    placed = docs.repartition("id", "h")  # the one shuffle of the texts, read by both joins below
-    late = resolve(contexts(placed, lists, symbols, length), length, dtype, first_stays)
-    asked = lists.select(F.explode("asked").alias("a")).groupBy("a.g").agg(F.sum(F.shiftright("a.place", HASH_BITS).bitwiseAND(F.lit((1 << WIDTH_BITS) - 1)) + length).alias("n"))
-    if (asked.agg(F.max("n")).first()[0] or 0) > COMPARED:  # some group passes windows on; its rows are read three times, so they are written
-        late = compared(cut(late), first_stays)
-    late = late.select("id", "h", "low", "high").groupBy("id", "h").agg(F.collect_list(F.struct("low", "high")).alias("more"))
-    return placed.join(lists.select("id", "h", "marks"), ["id", "h"], "left").join(late, ["id", "h"], "left").select("id", "text", "marks", "more")
 
+def marked_documents(df: DataFrame, hashes: Callable[[str], np.ndarray], symbols: Callable[[str], np.ndarray], length: int, gram: int, dtype: type, judge: Callable[[pd.DataFrame], pd.DataFrame], first_stays: bool) -> DataFrame:
+    """id, text, marks (list of low, high) of each document.
 
-def covered(n: int, marks: np.ndarray | None, more: list | None, length: int) -> np.ndarray:
+    hashes: a text's symbols as 64-bit hashes; symbols: the same as the index compares them (dtype); judge: see judged_in_groups.
+    first_stays: the first place of a string has the stretches that judge gives, all others are marked whole; else all have them.
+    """
+    docs = keyed(df)
+    places = cut(places_of_repeats(anchor_rows(docs, hashes, length, gram)))
+    reps = places.where("rep")
+    placed = docs.repartition("id", "h")  # the one shuffle of the texts, read by both joins
+    strings = contexts(placed, reps, symbols, length)
+    large = reps.groupBy("g").agg(F.sum(width_of(F.col("place")) + length).alias("n")).where(F.col("n") > BUDGET).select("g")
+    if large.isEmpty():
+        found = judged_in_groups(strings, judge, dtype)
+    else:
+        large, strings = cut(large), cut(strings)
+        found = judged_in_groups(strings.join(large, "g", "anti"), judge, dtype).unionByName(judged_by_window(strings.join(large, "g", "semi"), length, dtype, first_stays))
+    if first_stays:  # strings of which nothing is marked still have other places
+        found = found.unionByName(reps.where("many").select("g", "c", "id", "place", F.lit(0).alias("low"), F.lit(0).alias("high")))
+    found = found.withColumnsRenamed({"id": "rep_id", "place": "rep_place"})
+    first, whole = first_of(F.col("place")), width_of(F.col("place")) + length
+    is_first = (F.col("id") == F.col("rep_id")) & (first == first_of(F.col("rep_place"))) if first_stays else F.lit(True)
+    marks = places.join(found, ["g", "c"]).select("id", "h", (first + F.when(is_first, F.col("low")).otherwise(0)).alias("low"), (first + F.when(is_first, F.col("high")).otherwise(whole)).alias("high"))
+    marks = marks.where("high > low").groupBy("id", "h").agg(F.collect_set(F.struct("low", "high")).alias("marks"))  # a set: rows that are repeated send the same marks
+    return placed.join(marks, ["id", "h"], "left").select("id", "text", "marks")
+
+
+def covered(n: int, marks: list | None) -> np.ndarray:
     """Which of n symbols the marks cover."""
     edges = np.zeros(n + 1, np.int64)
-    if marks is not None and len(marks):
-        first, width = marks >> WIDTH_BITS, marks & ((1 << WIDTH_BITS) - 1)
-        np.add.at(edges, first, 1)
-        np.add.at(edges, first + width + length, -1)
-    for m in more if more is not None else ():
+    for m in marks if marks is not None else ():
         edges[m["low"]] += 1
         edges[m["high"]] -= 1
     return np.cumsum(edges[:-1]) > 0

@@ -1,15 +1,17 @@
 """Substring dedup on words: every word under a window of LENGTH words that also stands elsewhere is removed.
 
-Suffixes are split by prefixes into groups that fit in memory: the content-chosen gram of GRAM words (repeats.py)
-is the prefix by which they are dealt, and within a partition whole prefixes are taken together up to a
-bounded number of words. Each group's suffixes are sorted with their common prefixes, which is its suffix tree in array
-form (suffixes.py): internal nodes at least LENGTH words deep are stretches of neighbours that share so many, and
-their leaves are the places of the repeated windows. Overlapping windows of a node's leaves merge to the maximal repeat.
+Suffixes are dealt by variable-length prefixes into groups that fit in memory: content-chosen suffixes stand for all (repeats.py), their prefix is a
+gram of GRAM words, grams that occur once are dropped, and the prefix of a group over the budget is lengthened to the whole
+window. Each group's suffix tree is built in array form: suffixes in order, and the depths of the nodes between neighbours. A leaf
+whose parent node is at least LENGTH words deep is a place of a repeat as long as that node is deep, the longest one that starts there;
+a string that stands at several places is a leaf for each of them, so its parent is as deep as the string is long.
 
-Words are told apart by 64-bit hashes, and by 32 bits of them within the same prefix.
+Words are told apart by 64-bit hashes.
 
 Edge cases: a null text has no words; texts of fewer than LENGTH words are kept whole; rows equal in doc_id and text
-are two documents, so both lose their windows; a text that repeats itself loses every occurrence.
+are two documents, so both lose their windows; different texts under one doc_id, null or not, are different documents; a text that repeats
+itself loses every occurrence; a null doc_id stays null (the least long stands for it and so comes out as null too); very long texts are handled in slices
+of their windows, in memory proportional to one text; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import NO_ID, words_of
-from tidemark.llm.repeats import covered, marked_documents
+from tidemark.llm.repeats import covered, marked_documents, stretches
+from tidemark.llm.suffixes import Suffixes, joined
 
 LENGTH, GRAM = 35, 12
+#: Words whose hashes a worker keeps, at some 200 bytes each; frequent ones are mostly among the first.
+KNOWN = 150_000
 
 
 class Hashes(dict):
-    """Hashes of words; a worker keeps a bounded number of them."""
+    """Hashes of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < KNOWN:
+            self[word] = h
         return h
 
 
@@ -47,8 +52,31 @@ def hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def symbols(text: str) -> np.ndarray:
-    return (hashes(text) >> np.uint64(32)).astype(np.uint32)
+class SuffixTree:
+    """The suffix tree of some strings in array form, down to `least`: leaves (places) in order, and for each place the depth of its
+    leaf's parent node, which is exact from `least` on and less than it otherwise."""
+
+    def __init__(self, symbols: np.ndarray, least: int):
+        x = Suffixes(symbols)
+        self.leaves = x.sa
+        one, two = x.sa[1:], x.sa[:-1]
+        deep = np.flatnonzero(x.begin_alike(one, two, least))
+        between = np.zeros(len(one), np.int64)
+        between[deep] = x.shared(one[deep], two[deep])
+        self.depth = np.zeros(len(symbols), np.int64)
+        self.depth[x.sa] = np.maximum(np.append(between, 0), np.insert(between, 0, 0))
+        self.room = x.room
+
+
+def judge(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Stretches of strings that repeat, by the tree of all of them."""
+    symbols, owner = joined([np.frombuffer(x, np.uint64) for x in rows["symbols"]])
+    tree = SuffixTree(symbols, length)
+    depth = np.where(rows["many"].to_numpy(bool)[owner], tree.room, tree.depth)
+    at = np.flatnonzero(depth >= length)
+    edges = np.bincount(at, minlength=len(symbols) + 1) - np.bincount(at + depth[at], minlength=len(symbols) + 1)
+    begins = np.flatnonzero(np.concatenate(([True], symbols[:-1] == 0)))
+    return stretches(np.cumsum(edges[:-1]) > 0, owner, begins, rows)
 
 
 def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -57,14 +85,14 @@ def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text, marks, more in zip(batch["id"], batch["text"], batch["marks"], batch["more"], strict=True):
+            for i, text, marks in zip(batch["id"], batch["text"], batch["marks"], strict=True):
                 words = words_of(text)
-                gone = covered(len(words), marks, more, length)
+                gone = covered(len(words), marks)
                 kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 rows.append((i, len(words), int(gone.sum()), " ".join(kept)))
             yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
 
-    marked = marked_documents(df, hashes, symbols, length, GRAM, np.uint32, first_stays=False)
+    marked = marked_documents(df, hashes, hashes, length, GRAM, np.uint64, lambda rows: judge(rows, length), first_stays=False)
     out = marked.mapInPandas(run, "id long, n_words long, n_removed long, kept string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
 

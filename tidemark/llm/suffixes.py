@@ -1,28 +1,22 @@
-"""Sorted suffixes of many short strings at once, and their common prefixes by the runs of the Burrows-Wheeler transform."""
+"""Sorted suffixes of many short strings at once, by prefix doubling."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-class SuffixIndex:
+class Suffixes:
     """Suffixes of strings of positive integers, each string ended by a 0 in `symbols`.
 
-    sa: places in order (equal suffixes by place). bwt: the symbol before each, 0 at a string's start.
-    heads: where runs of the transform start, so that bwt[heads] and their lengths are the run-length form and
-    sa[heads] the sampled run ends. common[p]: symbols that the suffix at p shares with the one before it in order, exact
-    from `least` on.
-
-    Only at run ends is the common prefix measured. Inside a run both neighbours are preceded by the same
-    symbol, so their left extensions are neighbours too: the value at p is the one at p - 1 less one, and all values follow
-    by one stream over the text.
+    sa: places in order (equal suffixes by place). room: symbols from a place to its string's end. levels: (width, ranks of the
+    stretches of that width), from which common prefixes are measured.
     """
 
-    def __init__(self, symbols: np.ndarray, bits: int, least: int):
-        n = len(symbols)
+    def __init__(self, symbols: np.ndarray):
+        n, bits = len(symbols), max(1, int(symbols.max(initial=0)).bit_length())
         ends = np.flatnonzero(symbols == 0)
-        self.symbols, self.places = symbols, np.arange(n)
-        self.room = (ends[np.searchsorted(ends, self.places)] if n else ends) - self.places
+        self.symbols, places = symbols, np.arange(n)
+        self.room = ((ends[np.searchsorted(ends, places)] if n else ends) - places).astype(np.int32)
         longest = int(self.room.max()) + 1 if n else 0
         key, width = symbols.astype(np.int64), 1
         while width * 2 * bits <= 62 and width < longest:  # pack symbols without sorting
@@ -30,11 +24,11 @@ class SuffixIndex:
             width *= 2
         order = np.argsort(key)
         rank, distinct = self._number(order, key[order])
-        self.levels = [(width, rank)]
+        self.levels = [(width, rank.astype(np.int32))]
         place_bits = max(1, int(n).bit_length())
         while distinct < n and width < longest:
             if 3 * place_bits <= 63:  # rank, rank ahead and place fit in one number, and plain sorting is fastest
-                key = np.sort(((rank << place_bits | self._ahead(rank, width)) << place_bits) | self.places)
+                key = np.sort(((rank << place_bits | self._ahead(rank, width)) << place_bits) | places)
                 order, key = key & ((1 << place_bits) - 1), key >> place_bits
             else:
                 key = rank * (distinct + 1) + self._ahead(rank, width)
@@ -42,12 +36,9 @@ class SuffixIndex:
                 key = key[order]
             rank, distinct = self._number(order, key)
             width *= 2
-            self.levels.append((width, rank))
-        self.sa = order if distinct == n or (n and 3 * place_bits <= 63 and len(self.levels) > 1) else np.argsort(rank * n + self.places)
-        before = np.concatenate(([0], symbols[:-1]))
-        self.bwt = before[self.sa]
-        self.heads = np.flatnonzero(np.concatenate(([True], (self.bwt[1:] != self.bwt[:-1]) | (self.bwt[1:] == 0)))) if n else ends
-        self.common = self._common(least)
+            self.levels.append((width, rank.astype(np.int32)))
+        del key
+        self.sa = order if distinct == n or (n and 3 * place_bits <= 63 and len(self.levels) > 1) else np.argsort(rank * n + places)
 
     def _ahead(self, rank: np.ndarray, width: int) -> np.ndarray:
         """rank `width` places on, 0 beyond the string's end."""
@@ -64,7 +55,12 @@ class SuffixIndex:
         rank[order] = numbers
         return rank, int(numbers[-1]) if len(order) else 0
 
-    def _shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def begin_alike(self, p: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
+        """Whether the suffixes at p and q agree in the widest level that `least` covers; if not, they share less than `least`."""
+        coarse = [rank for width, rank in self.levels if width <= least]
+        return coarse[-1][p] == coarse[-1][q] if coarse else np.ones(len(p), bool)
+
+    def shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at p and q."""
         shared, room = np.zeros(len(p), np.int64), np.minimum(self.room[p], self.room[q])
         last = len(self.symbols) - 1
@@ -79,21 +75,16 @@ class SuffixIndex:
             shared[more] += 1
         return shared
 
-    def _common(self, least: int) -> np.ndarray:
-        n = len(self.sa)
-        if not n:
-            return np.empty(0, np.int64)
-        at = self.heads[1:]
-        coarse = [rank for width, rank in self.levels if width <= least]
-        if coarse:  # neighbours that differ this early share less than `least`, and so do all that follow from them
-            at = at[coarse[-1][self.sa[at]] == coarse[-1][self.sa[at - 1]]]
-        known = np.zeros(n, np.int64)
-        known[self.sa[at]] = self._shared(self.sa[at], self.sa[at - 1])
-        measured = np.zeros(n, bool)
-        measured[self.sa[self.heads]] = True
-        source = np.maximum.accumulate(np.where(measured, self.places, 0))
-        return np.maximum(known[source] - (self.places - source), 0)
 
-    def classes(self, length: int) -> np.ndarray:
-        """For each suffix in order, a number that suffixes with equal first `length` symbols share; length is at least `least`."""
-        return np.cumsum(self.common[self.sa] < length)
+def joined(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings as one array of numbers from 1, each string ended by a 0; and which string a place belongs to."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    owner = np.repeat(np.arange(len(strings)), sizes + 1)
+    flat = np.concatenate(strings)
+    if flat.dtype == np.uint8:
+        numbers = np.cumsum(np.bincount(flat, minlength=256) > 0)[flat]
+    else:
+        numbers = np.unique(flat, return_inverse=True)[1] + 1
+    symbols = np.zeros(len(flat) + len(strings), np.int32)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)), sizes)] = numbers
+    return symbols, owner
