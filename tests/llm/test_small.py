@@ -285,11 +285,12 @@ def test_packing(spark):
     assert len({r.sequence_id for r in out}) <= -(-total // 32) + 2
 
 
-def test_packing_repeated_rows_and_hot_lengths(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK", 5)
+@pytest.mark.parametrize("rows", [5, 1000])
+def test_packing_repeated_rows_and_hot_lengths(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "ROWS", rows)
     out = packing.packed(spark.createDataFrame([(1, "a b c")] * 50 + [(2, "a")] * 7, DOCS), size=16).collect()
     assert len(out) == 57 and len({(r.sequence_id, r.offset) for r in out}) == 57
-    assert len({r.sequence_id for r in out}) == 14
+    assert len({r.sequence_id for r in out}) == 14 if rows == 1000 else len({r.sequence_id for r in out}) <= 14 + 57 // rows  # one more for each range
 
 
 def test_ids_survive_nulls(spark):
@@ -316,17 +317,34 @@ def test_best_fit_equals_one_by_one():
     rng = random.Random(2)
     for _ in range(60):
         size = rng.randint(4, 60)
-        lengths = [rng.randint(1, size) for _ in range(rng.randint(0, 200))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        places = packing.best_fit(counts, size)
+        lengths = sorted((rng.randint(1, size) for _ in range(rng.randint(0, 200))), reverse=True)
+        placed, left, gaps = packing.best_fit([(n, row) for row, n in enumerate(lengths)], [], size, True)
         used = {}
-        for length, rank, count, first, per, offset in places:
-            for k in range(count):
-                used.setdefault(first + k // per, []).append((offset + k % per * length, length))
-        assert sum(map(len, used.values())) == len(lengths) and len(used) == first_fit(lengths, size)
+        for row, sequence, offset in placed:
+            used.setdefault(sequence, []).append((offset, lengths[row]))
+        assert len(placed) == len(lengths) and not left and len(used) == first_fit(lengths, size)
         for items in used.values():
             items.sort()
             assert all(a + n == b for (a, n), (b, _) in zip(items, items[1:])) and items[0][0] == 0 and sum(items[-1]) <= size
+        assert sorted(gaps) == sorted((size - sum(max(items)), q) for q, items in used.items() if sum(max(items)) < size)
+
+
+def test_packing_in_supersteps(spark, monkeypatch):
+    """Many ranges: gapless, and hardly more sequences than best fit one by one."""
+    monkeypatch.setattr(packing, "ROWS", 60)
+    rng = random.Random(8)
+    for size, lengths in ((64, [min(64, int(rng.expovariate(0.08)) + 1) for _ in range(900)]), (64, [22] * 500 + [20] * 300 + [1] * 100), (64, [64] * 50)):
+        df = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES).repartition(3).cache()
+        df.count()
+        out = packing.pack(df, size).collect()
+        by_sequence = {}
+        for r in out:
+            by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sorted(r.doc_id for r in out) == list(range(len(lengths)))
+        for items in by_sequence.values():
+            items.sort()
+            assert items[0][0] == 0 and sum(items[-1]) <= size and all(a + n == b for (a, n), (b, _) in zip(items, items[1:]))
+        assert len(by_sequence) <= first_fit(lengths, size) + len(lengths) // 60, (len(by_sequence), first_fit(lengths, size))
 
 
 def test_fingerprints(docs, rows):

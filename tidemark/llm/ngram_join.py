@@ -2,17 +2,19 @@
 
 1. Each text becomes the set of hashes of its SHINGLE-word runs. Documents with equal sets form a class, found by an
    aggregate; from here on one row stands for a class, so any number of copies is one row.
-2. LSH forest: TREES tries over minhash signatures of DEPTH values. The prefix asked for is shortened from DEPTH until a
-   pair at the threshold shares it in some tree with probability TARGET. Classes that share it form a bucket.
+2. LSH forest: TREES tries over minhash signatures of DEPTH values. The prefix asked for is shortened, at the time of the call, from DEPTH until a
+   pair at the threshold asked for shares it in some tree with the target probability. Classes that share it form a bucket.
 3. Every two classes of a bucket are compared by signature, in blocks as in 4, so that even a bucket that holds most rows
    is spread. Those with an estimated similarity of at least LOOSE are tied; components of ties are candidate groups.
-4. Exact verification: the sets of a group's members meet, in blocks of at most BLOCK members, and every pair
+4. Exact verification: the sets of a group's members meet, in blocks of about BLOCK members or SHINGLES shingles at most, and every pair
    of a group is measured exactly once. A block returns, per member, how many documents it is linked with, and for each
    member one edge of the links' spanning forest, never the pairs.
 5. Classes joined by links form the final groups; a group's number is its least doc_id.
 
 Edge cases: a text of one to SHINGLE - 1 words has one shingle, all its words; a null or blank text has none and no links;
-rows equal in doc_id and text are copies of each other; null ids count as the least long and come out as null.
+rows equal in doc_id and text are copies of each other; a similarity of just the threshold is a link; null ids count as the least
+long and come out as null; a very long text is one set in memory proportional to it; an empty table gives no rows; other columns are ignored, or kept
+by one_of_each, whatever their names (but j_id and j_h).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.999
 TREES, DEPTH = 20, 8
 #: One byte of each of so many minhashes estimates the similarity; ties estimated lower are dropped.
 BYTES, LOOSE = 64, 0.55
-BLOCK = 1024
+BLOCK, SHINGLES = 1024, 1 << 19
 #: Classes of a bucket up to which its pairs are listed one by one.
 FEW = 8
 U32 = np.uint32
@@ -49,9 +51,6 @@ def stop_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: int
     return depth
 
 
-STOP = stop_depth()
-
-
 def shingles(text: str) -> np.ndarray:
     """Sorted different hashes of a text's shingles."""
     words = hashes(text)
@@ -69,7 +68,8 @@ def signature(x: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame], stop: int) -> Iterator[pd.DataFrame]:
+    """Each document's set: two hashes of it, its size, a small signature, and for each tree a hash of the prefix of `stop` values."""
     shift = np.arange(TREES, dtype=np.uint64)
     for batch in batches:
         out = []
@@ -81,7 +81,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = signature(x)
             tries = s.reshape(TREES, DEPTH).astype(np.uint64)
             key = shift
-            for k in range(STOP):
+            for k in range(stop):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + tries[:, k])
             d1, d2 = (np.bitwise_xor.reduce(mix(x * np.uint64(m))) + np.uint64(len(x)) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
             small = (s[:: TREES * DEPTH // BYTES][:BYTES] & U32(255)).astype(np.uint8)
@@ -189,7 +189,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def linked(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which two different sets have at least the threshold's similarity."""
     common, sizes = overlaps(sets).astype(np.float64), np.array([len(s) for s in sets], np.float64)
     links = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
@@ -209,12 +209,12 @@ def _forest(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """One block after the other, each with its members' sets, in order of block."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("ref")
-        links = linked([np.frombuffer(x, np.uint64) for x in rows["items"]])
+        links = linked([np.frombuffer(x, np.uint64) for x in rows["items"]], threshold)
         side, ref = rows["side"].to_numpy(), rows["ref"].to_numpy()
         if rows["pair_low"].iloc[0] != rows["pair_high"].iloc[0]:
             links &= side[:, None] != side[None, :]
@@ -236,19 +236,20 @@ def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(clean).alias("h"), clean.alias("text"))
 
 
-def join(df: DataFrame) -> DataFrame:
+def join(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """Per row of documents (doc_id, text): id, h, class_id, class_h (least id of its group and that row's h), n_links."""
-    docs = keyed(df)
-    sets = cut(docs.mapInPandas(_sets, "id long, h long, d1 long, d2 long, n int, small binary, tries binary"))
-    classes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.first("small").alias("small"), F.first("tries").alias("tries"))
-    classes = cut(classes.select(F.xxhash64("d1", "d2").alias("ref"), "d1", "d2", "first", "copies", "small", "tries"))
+    docs, stop = keyed(df), stop_depth(threshold, target)
+    sets = cut(docs.mapInPandas(lambda batches: _sets(batches, stop), "id long, h long, d1 long, d2 long, n int, small binary, tries binary"))
+    classes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("tries").alias("tries"))
+    classes = cut(classes.select("d1", "d2", "n", "first", "copies", "small", "tries")).withColumn("ref", F.monotonically_increasing_id())  # of what is written, so numbers stay
     groups = components(candidate_ties(classes))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    members = groups.join(sizes, "root").join(classes.select("ref", "first", "copies"), F.col("node") == F.col("ref"))
+    members = groups.join(classes.select("ref", "n", "first", "copies"), F.col("node") == F.col("ref"))
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(SHINGLES))).cast("int").alias("parts"))
+    members = members.join(sizes, "root")
     members = members.select("root", "ref", "copies", "parts", F.col("first.id").alias("id"), F.col("first.h").alias("h"), F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int").alias("side"))
     held = docs.join(members, ["id", "h"]).select("root", "ref", "copies", "parts", "side", "text").mapInPandas(_items, "root long, ref long, copies long, parts int, side int, items binary")
     keys = ("root", "pair_low", "pair_high")
-    checked = cut(paired(held, "root", "ref", "copies", "items").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify, "ref long, links long, root long"))
+    checked = cut(paired(held, "root", "ref", "copies", "items").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda batches: _verify(batches, threshold), "ref long, links long, root long"))
     links = checked.groupBy("ref").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("ref").alias("a"), F.col("root").alias("b")))
     known = classes.select("ref", "d1", "d2", "first", "copies").join(links, "ref", "left").join(roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))

@@ -1,19 +1,21 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
 1. Tokenise (mapInPandas): each document becomes pieces of at most `size` tokens; only pieces' lengths and
-   checksums go on. Whole texts stay in their partition.
-2. Supersteps. Pieces of equal length are interchangeable, so the range-sorted order of pieces is kept as runs
-   (length, count): at most `size` of them, however large the corpus. Sequences with equal gaps are runs of
-   consecutive sequence numbers in the same way. A superstep takes the longest unplaced length: a sweep finds
-   the successor of it among the gaps (the smallest gap that holds it), pieces claim places in that run of
-   gaps by rank, what finds no place goes to the next successor, and last to new sequences; then the gaps are
-   updated and the next length follows. That is best-fit decreasing, exactly.
-   The runs of gaps are at most two per length, so this table is bounded by `size` and not by the data.
-3. Place (windows): pieces get their rank within their length, by salted blocks so that no length is one task,
-   and look up which run of places holds the rank.
+   checksums go on. Whole texts stay in their partition. A piece of `size` tokens is a sequence of its own.
+2. Supersteps, from long pieces to short ones, by classes of lengths whose ends are in the ratio RATIO. In a superstep the class's pieces and the gaps of
+   the open sequences are range-sorted together, longest first. Then every range sweeps at once: each piece, in order, goes to its
+   successor among the range's gaps, the smallest that holds it, and the gap is updated. A piece without one looks in the ranges
+   of larger gaps, nearest first; where several ranges want the same gaps, ranks decide: as many of the first pieces go to a range as it
+   has gaps, the others go further. Gaps are sorted again and the superstep is repeated. When it finds few places, as many empty sequences as the pieces left
+   would fill are added to the gaps, and the longest pieces come first to them.
+   Rows that fit in one range are packed by best-fit decreasing. A range has about ROWS rows however the lengths are distributed, since rows of
+   equal length are ordered by a number of their own. The driver sees two counts per range, no pieces.
+3. Placements join their pieces on that number.
 
 Edge cases: a null text counts as empty and is one token (the end mark); a document whose length is a multiple
-of `size` has no empty last piece; repeated rows are packed as often as they come; null doc_ids stay null; an empty table gives no rows.
+of `size` has no empty last piece; ties in length are packed in any order; repeated rows are packed as often as they come; null doc_ids
+stay null (the least long stands for them and so comes out as null too); a very long text is one row of many pieces, tokenised in memory proportional to
+it; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,23 +23,28 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import NO_ID, cut, known_id
 
 SIZE, END = 4096, 1
-#: Pieces ranked in one block, on average.
-BLOCK = 2_000
-#: Chunks of text between blanks whose ids a worker keeps.
-CACHE = 1_500_000
+#: Ratio of the ends of a class of lengths; rows of a range, on average; supersteps of a class after which each range opens sequences for what is left.
+#: A superstep finds few places when it places less than this share.
+RATIO, ROWS, STEPS, FEW = 4, 200_000, 16, 0.1
+#: Chunks of text between blanks whose ids a worker keeps, at some 250 bytes each.
+CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: What a sweep gives. GAP: the room `key` of sequence `row`; LEFT: piece `row` of length `key`, the `rank`-th of those left in range `part`; PLACED: piece `row` at `at` of sequence `sequence_id`.
+SWEPT = "kind int, key int, row long, part int, rank long, sequence_id long, at int"
+GAP, LEFT, PLACED = 0, 1, 2
 
 
 def vocabulary() -> str:
@@ -144,62 +151,137 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     return cut_up.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
-    """Places of all pieces, given how many have each length.
+def best_fit(pieces: Iterable[tuple[int, int]], gaps: Iterable[tuple[int, int]], size: int, open_new: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pieces (length, row), longest first, put where they fit best among gaps (room, sequence).
 
-    A place (length, rank, count, first sequence, per sequence, offset) takes the pieces of a length with ranks
-    from `rank` on: `per sequence` consecutive ranks go to each sequence, from the first one on.
+    Returns placements (row, sequence, offset), pieces left, and gaps. A new sequence has the number of its first piece.
     """
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences), sorted
-    places, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(gaps, (length, -1, -1))
-            if at < len(gaps):
-                gap, first, n = gaps.pop(at)
-            else:
-                gap, first, n = size, opened, -(-left // (size // length))
-                opened += n
-            each = gap // length
-            full, rest = divmod(min(left, each * n), each)
-            for sequences, per in ((full, each), (1 if rest else 0, rest)):
-                if sequences:
-                    places.append((length, rank, sequences * per, first, per, size - gap))
-                    if gap > per * length:
-                        insort(gaps, (gap - per * length, first, sequences))
-                    rank, first, n, left = rank + sequences * per, first + sequences, n - sequences, left - sequences * per
-            if n:
-                insort(gaps, (gap, first, n))
-    return places
+    by_room: dict[int, list[int]] = {}
+    for room, sequence in gaps:
+        by_room.setdefault(room, []).append(sequence)
+    rooms, placed, left = sorted(by_room), [], []
+    for length, row in pieces:
+        at = bisect_left(rooms, length)
+        if at < len(rooms):
+            room = rooms[at]
+            sequence = by_room[room].pop()
+            if not by_room[room]:
+                del by_room[room], rooms[at]
+        elif open_new:
+            room, sequence = size, row
+        else:
+            left.append((length, row))
+            continue
+        placed.append((row, sequence, size - room))
+        if room > length:
+            if room - length not in by_room:
+                insort(rooms, room - length)
+            by_room.setdefault(room - length, []).append(sequence)
+    return placed, left, [(room, x) for room in rooms for x in by_room[room]]
+
+
+def _sweep(size: int, open_new: bool) -> Callable[[pd.DataFrame, int], pd.DataFrame]:
+    """Best fit within a range of rows (kind, key, row)."""
+
+    def run(rows: pd.DataFrame, part: int) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "row"], ascending=[False, True], kind="stable")
+        pieces, gaps = (rows[rows["kind"] == k] for k in (LEFT, GAP))
+        placed, left, gaps = best_fit(zip(pieces["key"].tolist(), pieces["row"].tolist(), strict=True), zip(gaps["key"].tolist(), gaps["row"].tolist(), strict=True), size, open_new)
+        out = [(PLACED, 0, row, part, 0, sequence, at) for row, sequence, at in placed]
+        out += [(LEFT, length, row, part, rank, 0, 0) for rank, (length, row) in enumerate(left)]
+        out += [(GAP, room, row, part, rank, 0, 0) for rank, (room, row) in enumerate(gaps)]
+        return pd.DataFrame(out, columns=["kind", "key", "row", "part", "rank", "sequence_id", "at"])
+
+    return run
+
+
+def _swept(rows: DataFrame, n: int, size: int, open_new: bool) -> DataFrame:
+    """n rows (kind, key, row), range-sorted, after a sweep of each range."""
+    sweep, ranges = _sweep(size, open_new), -(-n // ROWS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield sweep(pd.concat(held, ignore_index=True), TaskContext.get().partitionId())
+
+    rows = rows.select("kind", "key", "row")
+    return cut((rows.coalesce(1) if ranges <= 1 else rows.repartitionByRange(ranges, F.desc("key"), "kind", "row")).mapInPandas(run, SWEPT))
+
+
+def _shares(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(range, from rank, to rank, other range) of the pieces left in ranges that may look in another one, given gaps and pieces left in each.
+
+    Ranges come in order, largest keys first, so gaps of any earlier range hold pieces of a later one.
+    """
+    shares, open_ranges = [], []
+    for part in sorted(counts):
+        gaps, left = counts[part]
+        rank = 0
+        while open_ranges and rank < left:
+            other, free = open_ranges.pop()
+            n = min(free, left - rank)
+            shares.append((part, rank, rank + n, other))
+            rank += n
+            if free > n:
+                open_ranges.append((other, free - n))
+        if gaps:
+            open_ranges.append((part, gaps))
+    return shares
+
+
+def _asked(swept: DataFrame, shares: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Pieces left and gaps with `target`, the range where they meet. shares: two rows per range at most."""
+    table = swept.sparkSession.createDataFrame(shares, "s_part int, s_low long, s_high long, s_other int")
+    wanted = swept.where(F.col("kind") == LEFT).join(F.broadcast(table), (F.col("part") == F.col("s_part")) & (F.col("rank") >= F.col("s_low")) & (F.col("rank") < F.col("s_high")), "left")
+    wanted = wanted.select("kind", "key", "row", F.coalesce("s_other", F.lit(-1)).alias("target"))
+    return wanted.unionByName(swept.where(F.col("kind") == GAP).select("kind", "key", "row", F.col("part").alias("target")))
+
+
+def _met(asked: DataFrame, size: int) -> DataFrame:
+    """Pieces and gaps of each target after a sweep there. A target has its range's gaps and no more pieces than those; pieces without one pass."""
+    sweep = _sweep(size, False)
+    met = asked.where("target >= 0").groupBy("target").applyInPandas(lambda rows: sweep(rows, 0), SWEPT)
+    rest = asked.where("target < 0").select("kind", "key", "row", F.lit(0).alias("part"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).alias("at"))
+    return cut(met.unionByName(rest))
+
+
+def _counted(swept: DataFrame) -> tuple[dict[int, tuple[int, int]], int, int, int]:
+    """Gaps and pieces left in each range, and in all: pieces left, their tokens, gaps."""
+    is_gap, is_left = F.col("kind") == GAP, F.col("kind") == LEFT
+    found = swept.groupBy("part").agg(F.count(F.when(is_gap, 1)).alias("gaps"), F.count(F.when(is_left, 1)).alias("left"), F.coalesce(F.sum(F.when(is_left, F.col("key"))), F.lit(0)).alias("tokens")).collect()
+    return {r.part: (r.gaps, r.left) for r in found}, sum(r.left for r in found), sum(r.tokens for r in found), sum(r.gaps for r in found)
 
 
 def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Pieces with sequence_id and offset. Pieces must be stable under recomputation: written, or checkpointed."""
-    counts = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # at most `size` rows
-    if not counts:
-        return cut_pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    places = np.array(sorted(best_fit(counts, size)), dtype=np.int64)
-    hot = {int(k): -(-n // BLOCK) for k, n in counts.items() if n > BLOCK}
-    blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("length")], F.lit(1)) if hot else F.lit(1)
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks).cast("long"))
-    sizes = salted.groupBy("length", "salt").count()
-    before = sizes.select("length", "salt", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("n", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
-    shared = cut_pieces.sparkSession.sparkContext.broadcast(places)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        keys = table[:, 0] * (1 << 40) + table[:, 1]
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
-            row = table[np.searchsorted(keys, length * (1 << 40) + rank, side="right") - 1]
-            step = rank - row[:, 1]
-            yield batch.drop(columns="rank").assign(sequence_id=row[:, 3] + step // row[:, 4], offset=row[:, 5] + step % row[:, 4] * length)
-
-    known = ranked.select(*cut_pieces.columns, F.col("rank").cast("long")).withColumn("doc_id", known_id(F.col("doc_id")))
-    return known.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    spark, pieces = cut_pieces.sparkSession, cut_pieces.withColumn("p_row", F.monotonically_increasing_id())
+    small = pieces.where(F.col("length") < size).select(F.lit(LEFT).alias("kind"), F.col("length").cast("int").alias("key"), F.col("p_row").alias("row"))
+    placed = [pieces.where(F.col("length") == size).select(F.col("p_row").alias("row"), F.col("p_row").alias("sequence_id"), F.lit(0).alias("at"))]
+    ends = [size]
+    while ends[-1] > 0:
+        ends.append(ends[-1] // RATIO)
+    in_class = sum((F.when(F.col("key") <= e, 1).otherwise(0) for e in ends[1:]), F.lit(0))
+    classes = small.groupBy(in_class.alias("k")).agg(F.count("*").alias("n"), F.sum("key").alias("tokens")).collect()  # a few rows
+    gaps, n_gaps, opened = spark.createDataFrame([], "kind int, key int, row long"), 0, 0
+    for k, n, tokens in sorted((r.k, r.n, r.tokens) for r in classes):
+        left, step, few = small.where((F.col("key") <= ends[k]) & (F.col("key") > ends[k + 1])), 0, n_gaps == 0
+        while n:
+            alone = step == STEPS or n + n_gaps <= ROWS
+            if few and not alone:
+                fresh = -(-tokens // size)
+                gaps = gaps.unionByName(spark.range(opened, opened + fresh).select(F.lit(GAP).alias("kind"), F.lit(size).alias("key"), (-1 - F.col("id")).alias("row")))
+                opened, n_gaps = opened + fresh, n_gaps + fresh
+            before, swept = n, _swept(left.unionByName(gaps), n + n_gaps, size, alone)
+            placed.append(swept.where(F.col("kind") == PLACED))
+            by_part, n, tokens, n_gaps = _counted(swept)
+            if n and (shares := _shares(by_part)):
+                swept = _met(_asked(swept, shares), size)
+                placed.append(swept.where(F.col("kind") == PLACED))
+                _, n, tokens, n_gaps = _counted(swept)
+            gaps, left = (swept.where(F.col("kind") == kind).select("kind", "key", "row") for kind in (GAP, LEFT))
+            few, step = before - n < FEW * before, step + 1
+    places = reduce(DataFrame.unionByName, (p.select(F.col("row").alias("p_row"), "sequence_id", F.col("at").cast("long").alias("offset")) for p in placed))
+    return pieces.join(places, "p_row").drop("p_row")
 
 
 def packed(df: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
