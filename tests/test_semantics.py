@@ -225,3 +225,35 @@ def test_config():
     for bad in ({"block_size": 10}, {"level": 10}, {"codec": "x"}, {"cache_entries": 0}, {"duplicates": "x"}, {"hot_days": 40}, {"batch_points": 0}):
         with pytest.raises(InvalidArgument):
             Config(**bad)
+
+
+def test_last_write_of_a_second_is_the_last_written(spark):
+    """Not the one with the latest time in it."""
+    m = made(spark, [(T0 + dt.timedelta(milliseconds=900), "a", 1.0, 1), (T0 + dt.timedelta(milliseconds=100), "a", 2.0, 2), (T0 + dt.timedelta(seconds=1), "a", 3.0, 0)])
+    assert sorted(r.value for r in maintenance.last_write_wins(m, second=True).collect()) == [2.0, 3.0]
+    with pytest.raises(InvalidArgument):
+        maintenance.last_write_wins(Measurement(m.source, "ts", ("host",), ("value",)))
+
+
+def test_changes_across_days(spark):
+    """Windows hold days; values are carried over days without points, and nulls are a series too."""
+    rows = [(T0 + dt.timedelta(hours=7 * k + (48 if k > 9 else 0)), h, float(k * k), 100 * n + k) for n, h in enumerate(("a", None)) for k in range(20)]
+    m = made(spark, rows)
+    assert {r.seq: r.value for r in rates.undelta(rates.delta(m).drop("value"), m).collect()} == {s: v for _, _, v, s in rows}
+    got = {r.seq: r.rate for r in rates.rate(m).collect()}
+    for n in (0, 1):
+        for a, b in zip(rows[20 * n :], rows[20 * n + 1 : 20 * n + 20]):
+            assert got[b[3]] == pytest.approx((b[2] - a[2]) / (b[0] - a[0]).total_seconds())
+    dod = {r.seq: r.dod_us for r in rates.delta_of_delta(m).collect()}
+    assert dod[0] is None and dod[1] is None and dod[5] == 0 and dod[10] == 48 * 3_600_000_000 and dod[11] == -48 * 3_600_000_000
+
+
+def test_dictionary_numbers_without_gaps(spark):
+    df = spark.range(1000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("host")).repartition(5)
+    ids = sorted((r.id, r.value) for r in series.dictionary(df, "host").collect())
+    assert ids == [(k + 1, f"v{k:04}") for k in range(1000)]
+
+
+def test_bloom_filters_are_on_tags():
+    assert "parquet.bloom.filter.enabled#host" in Config().writer_options(("host",)) and not any("bloom" in k for k in Config(bloom=()).writer_options(("host",)))
+    assert Config(flush_ms=250).every() == "250 milliseconds" and Config(batch_points=7).reader_options()["maxOffsetsPerTrigger"] == "7"

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalogue
 from tidemark.config import Config
@@ -178,3 +179,40 @@ def test_core_plans_have_no_python(spark):
 def test_flagship_plan(spark):
     plan = catalogue.flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan and "partial_sum" in plan and "WindowExec" not in plan
+
+
+@pytest.mark.parametrize("moved", [0, 1, 2])
+def test_broken_rewrites_are_ended(spark, tmp_path, moved):
+    """A driver lost while it puts rewritten days in their place: with none moved the old rows stay, else the new ones come."""
+    root = str(tmp_path / "db")
+    d = Database(spark, root)
+    df = spark.createDataFrame([(f"2024-01-0{k} 01:00:00", float(k)) for k in (1, 2)], "t string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), "value")
+    d.write("m", df)
+    df.withColumn("value", F.col("value") * 10).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{root}/.rewrite-1-m")
+    days = d.days("m")
+    if moved:
+        (tmp_path / "db/.old-1-m").mkdir()
+    for k, day in enumerate(days[:moved]):
+        (tmp_path / f"db/m/day={day}").rename(tmp_path / f"db/.old-1-m/day={day}")
+        if k == 0 and moved == 2:
+            (tmp_path / f"db/.rewrite-1-m/day={day}").rename(tmp_path / f"db/m/day={day}")
+    d = Database(spark, root)
+    want = {0: [1.0, 2.0], 1: [2.0, 10.0], 2: [10.0, 20.0]}[moved]
+    assert sorted(r.value for r in d.read("m").collect()) == want and not [p for p in (tmp_path / "db").iterdir() if p.name.startswith(".")]
+
+
+def test_rollup_on_streams_leaves_nan_out(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:00:02", "a", float("nan"))], "t string, host string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), "host", "value")
+    df.write.parquet(str(tmp_path / "in"))
+    rolled = ingest.rollup(ingest.files(spark, str(tmp_path / "in"), df.schema), "ts", "1 hour", ("host",), "value")
+    ingest.keep_latest(rolled, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    r = ingest.latest(spark, str(tmp_path / "out"), ("host",)).first()
+    assert (r["min"], r["max"], r["count"]) == (1.0, 1.0, 2)
+
+
+def test_ingest_into_a_database(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01 00:00:01", 1.0), ("2024-01-02 00:00:02", 2.0)], "t string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), "value")
+    df.write.parquet(str(tmp_path / "in"))
+    d = Database(spark, str(tmp_path / "db"))
+    d.ingest("m", ingest.files(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "log"), once=True).awaitTermination()
+    assert d.read("m").count() == 2 and d.days("m") == ["2024-01-01", "2024-01-02"]

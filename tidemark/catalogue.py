@@ -7,17 +7,20 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
 from tidemark.functions import codecs, scalar
 from tidemark.functions.predicates import Predicate, exact_set, tag
 from tidemark.model import Measurement
 from tidemark.operators import maintenance, rates, rollup, series
 from tidemark.plans.query import Query
 from tidemark.plans.routing import Router
-from tidemark.sources.store import Database
+from tidemark.sources.points import Point, points
+from tidemark.sources.store import Database, ResultCache
 from tidemark.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,7 +166,8 @@ def tag_exact_set(spark, sf_dir):
 
 @_named("SELECT event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def field_projection(spark, sf_dir):
-    return events(spark, sf_dir).source.select("event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return Query(Measurement(source, "ts", ("event_type",), ("value", "k"), ("event_id",))).select("k").unordered().df()
 
 
 # Aggregates
@@ -383,6 +387,32 @@ def series_id_fnv(spark, sf_dir):
     return series.catalog(m).select("event_type", "user_id", m.series_id().alias("series_id"), scalar.fnv1a64(F.col("event_type")).alias("fnv"))
 
 
+@_named("""SELECT event_type, CAST(CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END AS BIGINT) AS fnv FROM (
+  SELECT event_type, list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(1, length(event_type) + 1), lambda i: ascii(substr(event_type, i, 1))::UHUGEINT)),
+    lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM (SELECT DISTINCT event_type FROM events))""")
+def fnv_hash(spark, sf_dir):
+    return events(spark, sf_dir).source.select("event_type").distinct().withColumn("fnv", scalar.fnv1a64(F.col("event_type")))
+
+
+_BUILT = "(VALUES (0, 'cpu', 'a', 1.5, 7, NULL, true), (1, 'cpu', 'b', NULL, 3, 'warm', NULL), (2, 'mem', 'a', 2.0, NULL, NULL, NULL), (3, 'cpu', NULL, -1.0, NULL, NULL, false)) AS p(seq, measurement, host, v, i, s, b)"
+
+
+@_named(f"SELECT seq::BIGINT AS seq, measurement, host, make_timestamp(1704067200000000 + seq * 1000000) AS ts, v::DOUBLE AS v, i::BIGINT AS i, s, b, coalesce(v::DOUBLE, i::DOUBLE) AS value FROM {_BUILT}")
+def points_built(spark, sf_dir):
+    """Points made one by one, with tags and typed fields."""
+    rows = [("cpu", "a", {"v": 1.5, "i": 7, "b": True}), ("cpu", "b", {"i": 3, "s": "warm"}), ("mem", "a", {"v": 2.0}), ("cpu", None, {"v": -1.0, "b": False})]
+    made = []
+    for n, (measurement, host, fields) in enumerate(rows):
+        p = Point(measurement, (1_704_067_200 + n) * 1_000_000_000)
+        p = p if host is None else p.tag("host", host)
+        for k, v in fields.items():
+            p.set(k, v)
+        made.append(p)
+    df = points(spark, made)
+    get = lambda kind, k: F.element_at(kind, F.lit(k)).alias(k)
+    return df.select("seq", "measurement", get("tags", "host"), "ts", get("floats", "v"), get("ints", "i"), get("strings", "s"), get("bools", "b"), "value")
+
+
 @_named("SELECT value, dense_rank() OVER (ORDER BY value) AS id FROM (SELECT DISTINCT event_type AS value FROM events)")
 def tag_dictionary(spark, sf_dir):
     return series.dictionary(events(spark, sf_dir).source, "event_type")
@@ -416,7 +446,7 @@ def lww_dedup(spark, sf_dir):
     return maintenance.last_write_wins(items(spark, sf_dir)).select("l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
 
 
-@_named("SELECT event_type, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+@_named("SELECT event_type, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def lww_second(spark, sf_dir):
     return maintenance.last_write_wins(events(spark, sf_dir, "event_type"), second=True).select("event_type", "ts", "value")
 
@@ -482,6 +512,8 @@ def _folder(spark: SparkSession) -> str:
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared}/tidemark-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise InvalidArgument("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
@@ -518,6 +550,38 @@ def store_deletes(spark, sf_dir):
     return Query(_of(db)).unordered().df()
 
 
+@_named("SELECT event_type, user_id, min(ts) AS min_time, max(ts) AS max_time, count(*) AS point_count FROM events GROUP BY 1, 2")
+def catalog_saved(spark, sf_dir):
+    db = _stored(spark, sf_dir)
+    db.save_catalog("events", _of(db))
+    return db.load_catalog("events")
+
+
+@_named(f"SELECT {POINT} FROM events")
+def codec_by_age(spark, sf_dir):
+    db = _stored(spark, sf_dir)
+    db.recompress_by_age("events", date(2024, 2, 5))
+    return Query(_of(db)).unordered().df()
+
+
+@_named(f"SELECT {POINT} FROM events WHERE {IN_RANGE}")
+def cached_result(spark, sf_dir):
+    cache = ResultCache(4)
+    make = lambda: Query(events(spark, sf_dir)).range(FROM, TO).unordered().df()
+    cache.get("range", make)
+    return cache.get("range", make)
+
+
+@_named("SELECT l_returnflag, count(*) AS points FROM lineitem GROUP BY 1")
+def databases_apart(spark, sf_dir):
+    """Two databases with a measurement of one name; deleting it in one leaves the other's."""
+    one, two = (Database(spark, _folder(spark)) for _ in range(2))
+    one.write("m", events(spark, sf_dir).source, "ts", ("event_type",))
+    two.write("m", items(spark, sf_dir).source, "l_shipdate", ("l_returnflag",))
+    one.delete_measurement("m")
+    return two.read("m").groupBy("l_returnflag").agg(F.count("*").alias("points"))
+
+
 def _event_files(spark: SparkSession, sf_dir: str, folder: str, parts: int = 4) -> DataFrame:
     df = events(spark, sf_dir).source
     df.repartitionByRange(parts, "event_id").write.parquet(f"{folder}/in")
@@ -540,6 +604,20 @@ def stream_rollup_hourly(spark, sf_dir):
     return _summary(ingest.latest(spark, f"{folder}/rolled", ("event_type",)))
 
 
+LATE = "2024-01-10 00:00:00"
+
+
+@_named(f"SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(sum(value), 4) AS sum, count(value) AS count FROM events WHERE ts >= TIMESTAMP '{LATE}' GROUP BY 1, 2")
+def stream_late_points(spark, sf_dir):
+    """Points that come when their bucket is behind the watermark are dropped."""
+    folder, df = _folder(spark), events(spark, sf_dir).source
+    for late in (False, True):
+        df.where((F.col("ts") < F.lit(LATE).cast("timestamp_ntz")) == F.lit(late)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rolled = ingest.rollup(ingest.files(spark, f"{folder}/in", df.schema), "ts", "1 hour", ("event_type",), "value", ("event_id",), late="1 hour")
+        ingest.keep_latest(rolled, f"{folder}/rolled", f"{folder}/log").awaitTermination()  # the second run goes on from the first one's watermark
+    return rounded(ingest.latest(spark, f"{folder}/rolled", ("event_type",)), "sum", to=4).select("event_type", "bucket", "sum", "count")
+
+
 @_named("SELECT event_type, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def stream_last_write_wins(spark, sf_dir):
     folder = _folder(spark)

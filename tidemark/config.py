@@ -15,7 +15,8 @@ DUPLICATES = ("append", "lww", "lww_second")
 class Config:
     """block_size: Parquet page size in bytes; cache_entries: query results kept; level: zstd level;
     codec: file codec; duplicates: what equal (series, time) rows mean when read; hot_days and warm_days: tier limits;
-    batch_points and flush_ms: stream batches; bloom: columns with Bloom filters in the files.
+    batch_points and flush_ms: most rows of a stream's batch, from sources that count rows, and time between batches;
+    bloom: columns with Bloom filters in the files; None: the tags given with a write.
     """
 
     block_size: int = 1 << 20
@@ -28,7 +29,7 @@ class Config:
     warm_days: int = 30
     batch_points: int = 1000
     flush_ms: int = 100
-    bloom: tuple[str, ...] = ("series_id",)
+    bloom: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
         checks = {
@@ -43,7 +44,15 @@ class Config:
         if failed := [k for k, ok in checks.items() if not ok]:
             raise InvalidArgument("; ".join(failed))
 
-    def writer_options(self) -> dict[str, str]:
+    def reader_options(self) -> dict[str, str]:
+        """Options of a stream's reader, for sources that count rows."""
+        return {"maxOffsetsPerTrigger": str(self.batch_points), "rowsPerBatch": str(self.batch_points)}
+
+    def every(self) -> str:
+        """Time between a stream's batches."""
+        return f"{self.flush_ms} milliseconds"
+
+    def writer_options(self, tags: tuple[str, ...] = ()) -> dict[str, str]:
         """Options of the Parquet writer."""
         options = {"compression": self.codec, "parquet.page.size": str(self.block_size), "parquet.compression.codec.zstd.level": str(max(1, self.level))}
-        return options | {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.bloom}
+        return options | {f"parquet.bloom.filter.enabled#{c}": "true" for c in (tags if self.bloom is None else self.bloom)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
 from tidemark.functions.predicates import Predicate, exact_set
 from tidemark.model import Measurement
 
@@ -14,14 +15,15 @@ def _at(moment: object) -> Column:
 
 
 def last_write_wins(m: Measurement, second: bool = False) -> DataFrame:
-    """One point per series and time, the last written (largest tiebreak); with `second`, per series and second.
+    """One point per series and time, the last written (largest tiebreak); with `second`, per series and second, whatever its time within that.
 
     An aggregate, not a window: partial maxima are formed before the shuffle, so rewritten points cost little.
     """
     time = F.date_trunc("second", m.time).cast("timestamp_ntz") if second else F.col(m.time)
     rest = [c for c in m.source.columns if c not in m.tags]
-    order = F.struct(*([m.time] if second else []), *m.tiebreak) if second or m.tiebreak else F.lit(0)
-    picked = m.source.groupBy(*m.tags, time.alias("moment")).agg(F.max_by(F.struct(*rest), order).alias("row"))
+    if not m.tiebreak:
+        raise InvalidArgument("the last write can only be told by a tiebreak column, such as a running number of writes")
+    picked = m.source.groupBy(*m.tags, time.alias("moment")).agg(F.max_by(F.struct(*rest), F.struct(*m.tiebreak)).alias("row"))
     columns = [F.col(c) if c in m.tags else F.col("moment").alias(c) if c == m.time else F.col(f"row.{c}").alias(c) for c in m.source.columns]
     return picked.select(*columns)
 

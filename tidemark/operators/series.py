@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import exact_set
 from tidemark.model import Measurement
+from tidemark.operators.order import numbered
 
 #: Dictionaries of at most so many entries are sent to every task.
 BROADCAST_ENTRIES = 100_000
@@ -42,8 +43,7 @@ def measurements(df: DataFrame, column: str) -> DataFrame:
 
 def dictionary(df: DataFrame, tag: str) -> DataFrame:
     """Ids of a tag's values, from 1 in order of value. Values, not points, are numbered; null has none."""
-    values = df.where(F.col(tag).isNotNull()).select(F.col(tag).alias("value")).distinct()
-    return values.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")).cast("long"))
+    return numbered(df.where(F.col(tag).isNotNull()).select(F.col(tag).alias("value")).distinct(), ["value"], "id")
 
 
 def encoded(df: DataFrame, tag: str, ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.config import Config
 from tidemark.errors import Closed, NotFound
@@ -16,6 +17,7 @@ from tidemark.model import Measurement
 from tidemark.operators.maintenance import last_write_wins
 from tidemark.operators.series import catalog
 from tidemark.plans.query import Query
+from tidemark.streaming import ingest as streams
 
 DAY = "day"
 
@@ -31,6 +33,7 @@ class Database:
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.cache = ResultCache(self.config.cache_entries, self.config.cache_seconds)
         self._open = True
+        self.recover()
 
     def __enter__(self) -> Database:
         return self
@@ -70,7 +73,7 @@ class Database:
         """
         dated = df.withColumn(DAY, F.to_date(time_column))
         ordered = dated.hint("rebalance", DAY).sortWithinPartitions(DAY, *tags, time_column)
-        ordered.write.mode("append").options(**self.config.writer_options()).partitionBy(DAY).parquet(self._path(name))
+        ordered.write.mode("append").options(**self.config.writer_options(tags)).partitionBy(DAY).parquet(self._path(name))
         self.cache.clear()
 
     def read(self, name: str) -> DataFrame:
@@ -96,27 +99,59 @@ class Database:
     def _rewrite(self, name: str, touched: Column, keep: Column | None, arrange: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
         """Rewrite the days that `touched` selects, with the rows that `keep` holds for; drop days left without rows.
 
-        The rows go to a new folder beside the measurement first, which then takes the place of the old days; until that, nothing
-        of the old is gone.
+        The rows go to a new folder beside the measurement first. Then each old day is moved aside before the new one takes its place, and the
+        old days are deleted last, so `recover` can end a rewrite that was broken off anywhere.
         """
-        path, side = self._path(name), f"{self.root}/.rewrite-{name}-{time.time_ns()}"
+        stamp = time.time_ns()
+        path, side, aside = self._path(name), f"{self.root}/.rewrite-{stamp}-{name}", f"{self.root}/.old-{stamp}-{name}"
         rows = self.read(name).where(touched)
         days = [str(r[0]) for r in rows.select(DAY).distinct().collect()]  # days, not rows: one value per folder
         if not days:
             return
         left = arrange(rows if keep is None else rows.where(keep))
         left.write.options(**self.config.writer_options()).partitionBy(DAY).parquet(side)
+        at, fs = self._hadoop(aside)
+        fs.mkdirs(at)
         for day in days:
-            old, fs = self._hadoop(f"{path}/{DAY}={day}")
-            new, _ = self._hadoop(f"{side}/{DAY}={day}")
-            fs.delete(old, True)
-            if fs.exists(new):
-                fs.rename(new, old)
-        gone, fs = self._hadoop(side)
-        fs.delete(gone, True)
+            old, _ = self._hadoop(f"{path}/{DAY}={day}")
+            fs.rename(old, self._hadoop(f"{aside}/{DAY}={day}")[0])
+            self._publish(fs, side, path, f"{DAY}={day}")
+        self._end(fs, aside, side)
         self.spark.catalog.refreshByPath(path)
         self.cache.clear()
 
+    def _publish(self, fs, side: str, path: str, day: str) -> None:
+        """Move a rewritten day to its place; a day without rows left has none."""
+        new, _ = self._hadoop(f"{side}/{day}")
+        if fs.exists(new):
+            fs.rename(new, self._hadoop(f"{path}/{day}")[0])
+
+    def _end(self, fs, aside: str, side: str) -> None:
+        """A rewrite is over when its old days are gone; what is left of the new ones goes last."""
+        for folder in (aside, side):
+            fs.delete(self._hadoop(folder)[0], True)
+
+    def recover(self) -> None:
+        """End rewrites that were broken off: days moved aside get their new rows, and a rewrite that had moved none is undone.
+
+        There is one writer at a time, so what is found on opening is left over.
+        """
+        at, fs = self._hadoop(self.root)
+        left = {x.getPath().getName() for x in fs.listStatus(at)} if fs.exists(at) else set()
+        for side in sorted(x for x in left if x.startswith(".rewrite-")):
+            aside = side.replace(".rewrite-", ".old-", 1)
+            if aside in left:
+                path = f"{self.root}/{side.split('-', 2)[2]}"
+                for x in fs.listStatus(self._hadoop(f"{self.root}/{aside}")[0]):
+                    day = x.getPath().getName()
+                    if not fs.exists(self._hadoop(f"{path}/{day}")[0]):
+                        self._publish(fs, f"{self.root}/{side}", path, day)
+            self._end(fs, f"{self.root}/{aside}", f"{self.root}/{side}")
+
+    def ingest(self, name: str, stream: DataFrame, checkpoint: str, time_column: str = "ts", once: bool = False) -> StreamingQuery:
+        """Append a stream to a measurement, a batch every flush_ms; once: all there is, then stop."""
+        return streams.ingest(stream, self._path(name), checkpoint, None if once else self.config.every(), time_column)
+
     def delete_range(self, name: str, start: object, end: object, time_column: str = "ts", condition: Predicate | None = None) -> None:
         """Delete points from start to end, both included; with a condition, only those that meet it."""
         low, high = (F.lit(str(x)).cast("timestamp_ntz") for x in (start, end))
@@ -138,8 +173,9 @@ class Database:
     def expire(self, name: str, cutoff: object, time_column: str = "ts") -> None:
         """Delete points older than the cutoff. Whole days before it are dropped without being read."""
         limit = F.lit(str(cutoff)).cast("timestamp_ntz")
-        for day in (r[0] for r in self.read(name).select(DAY).distinct().where(F.col(DAY) < F.to_date(limit)).collect()):
-            self.drop_day(name, str(day))
+        last = str(self.spark.range(1).select(F.to_date(limit)).first()[0])
+        for day in (d for d in self.days(name) if d < last):
+            self.drop_day(name, day)
         if self.days(name):
             self._rewrite(name, F.col(DAY) == F.to_date(limit), F.col(time_column) >= limit)
 
@@ -155,8 +191,13 @@ class Database:
         self.cache.clear()
 
     def compact(self, name: str, time_column: str = "ts", tags: tuple[str, ...] = ()) -> None:
-        """Rewrite all days with few files each, sorted by series and time. No row changes."""
-        self._rewrite(name, F.lit(True), None, lambda d: d.hint("rebalance", DAY).sortWithinPartitions(DAY, *tags, time_column))
+        """Rewrite days of several files with few files each, sorted by series and time. No row changes; a day of one file stays."""
+        if days := [d for d in self.days(name) if self._files(name, d) > 1]:
+            self._rewrite(name, F.col(DAY).isin([F.lit(d).cast("date") for d in days]), None, lambda d: d.hint("rebalance", DAY).sortWithinPartitions(DAY, *tags, time_column))
+
+    def _files(self, name: str, day: str) -> int:
+        at, fs = self._hadoop(f"{self._path(name)}/{DAY}={day}")
+        return sum(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(at))
 
     def recompress(self, name: str, days: list[str], codec: str, level: int | None = None) -> None:
         """Rewrite some days with another codec, as when they turn warm or cold."""

@@ -32,13 +32,14 @@ def rollup(stream: DataFrame, time: str, every: str, dimensions: tuple[str, ...]
     """A running rollup: sum, least, largest, number, first and last value and their times per dimensions and bucket.
 
     Late points count while their bucket is within `late` of the newest time, then they are dropped and the bucket's
-    state is freed. Each bucket's state is a fixed number of values, whatever its points are.
+    state is freed. Least and largest leave NaN out, as those of a batch rollup do. Each bucket's state is a fixed number of values, whatever its points are.
     """
     moment = F.col(time).cast("timestamp")
     marked = stream.withColumn("event_time", moment).withWatermark("event_time", late)
     v, at = F.col(field).cast("double"), F.struct("event_time", *tiebreak)
+    plain = F.when(~F.isnan(v), v)
     grouped = marked.groupBy(*dimensions, F.window("event_time", every).alias("w")).agg(
-        F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"), F.min_by(v, at).alias("first"), F.max_by(v, at).alias("last"),
+        F.sum(v).alias("sum"), F.min(plain).alias("min"), F.max(plain).alias("max"), F.count(v).alias("count"), F.min_by(v, at).alias("first"), F.max_by(v, at).alias("last"),
         F.min("event_time").cast("timestamp_ntz").alias("first_ts"), F.max("event_time").cast("timestamp_ntz").alias("last_ts"),
     )
     return grouped.withColumn("bucket", F.col("w.start").cast("timestamp_ntz")).withColumn("avg", F.col("sum") / F.nullif("count", F.lit(0))).drop("w")
