@@ -255,6 +255,21 @@ def test_urls(spark):
     assert [(r.host, r.path, r.rule, r.verdict) for r in urls.digest(df).orderBy("page_id").collect()] == list(cases.values())
 
 
+def test_url_vocabulary_from_a_table(spark):
+    terms = urls.vocabulary(spark.createDataFrame([("Bad", 1.0), ("so", 0.4), ("and", 0.35), ("then", 0.3), (None, 1.0), ("so", 0.1)], "term string, weight double"))
+    df = spark.createDataFrame([(0, "x://bad.io/"), (1, "x://so.io/and/then"), (2, "x://so.io/and"), (3, "x://badly.io/so/so/so"), (4, "x://porn.io/"), (5, "x://a.com/en/bad")], "id int, url string")
+    out = {r.id: r.judged.verdict for r in urls.judge_urls(df, terms=terms, rules=(("com", "/en/", "allow"),)).collect()}
+    assert out == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_clashing_columns_of_urls_and_labels(spark):
+    pages = spark.createDataFrame([(1, "x://porn.io/", "a", "b", "c")], "page_id long, url string, host string, verdict string, judged string")
+    assert [(r.host, r.verdict) for r in urls.digest(pages).collect()] == [("porn.io", "block")]
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a a", "x", "y"), (None, None, "x", "y")], "doc_id long, text string, places string, toxic string")
+    labels = spark.createDataFrame([(1, 1, 0, "t"), (None, 1, 1, "t")], "doc_id long, quality int, toxic int, text string")
+    assert toxicity.digest(docs, labels).count() == 3
+
+
 def check_packing(out, ids_by_doc, size):
     """Pieces are whole, in order, checked by sum; sequences are gapless and not too long."""
     by_doc, by_sequence = {}, {}
@@ -431,6 +446,39 @@ def test_mixing_meets_entropy(spark):
     assert mixing.exponent(sources, entropy=1.0) <= 1e-5 and mixing.exponent(sources, entropy=0.0) == 1.0
 
 
+def test_mixing_weights_against_brute_force(spark):
+    """The exponent by trying many, and weights, quotas and passes from it."""
+    import math
+
+    sources = mixing.sources_of(mixing.units_of(mixing_input(spark))).cache()
+    tokens = {r.source: r.tokens for r in sources.collect()}
+    held = {s: n for s, n in tokens.items() if n}
+    total = sum(held.values())
+    for entropy, most, budget in ((0.8, None, 5000.0), (None, 3.0, 4000.0), (0.9, 2.0, 9000.0)):
+
+        def weights(a):
+            z = sum((n / total) ** a for n in held.values())
+            return {s: (n / total) ** a / z for s, n in held.items()}
+
+        def fits(a):
+            w = weights(a)
+            flat = entropy is None or -sum(x * math.log(x) for x in w.values()) <= entropy * math.log(len(w))
+            return flat and (most is None or max(w[s] * budget / held[s] for s in held) <= most)
+
+        best = next((k / 20_000 for k in range(20_001) if fits(k / 20_000)), 1.0)
+        alpha = mixing.exponent(sources, entropy, most, budget)
+        assert alpha == pytest.approx(best, abs=1e-4)
+        for r in mixing.weigh(sources, alpha, budget).collect():
+            w = weights(alpha).get(r.source, 0.0)
+            assert r.weight == pytest.approx(w) and abs(r.quota - w * budget) <= 1 and r.full == (r.quota // tokens[r.source] if w else 1)
+
+
+def test_mixing_spreads_documents_without_tokens(spark):
+    rows = [(i, "none", "") for i in range(3000)] + [(10_000 + i, "some", "w " * 20) for i in range(500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_tokens=1000).groupBy("block").count().collect()
+    assert sum(r["count"] for r in out) == 3500 and len(out) >= 10 and max(r["count"] for r in out) < 500
+
+
 def test_mixing_schedule(spark):
     df = mixing_input(spark)
     tokens = {}

@@ -7,7 +7,7 @@ import pytest
 from tests.compare import connect, same
 from tests.llm import brute
 from tests.llm.test_small import check_packing
-from tidemark.llm import packing, pii, queries
+from tidemark.llm import packing, pii, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -44,11 +44,16 @@ def test_pii(spark, texts):
     assert rows(spark, "op2_pii", "doc_id", "base_sha256") == want
 
 
-def test_toxicity(spark):
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    out = {r.doc_id: r.toxic for r in queries.queries()["op7_toxicity"](spark, SF).collect()}
-    hits = [out[i] == bool(t) for i, t in toxic.items() if i in out]
-    assert sum(hits) / len(hits) > 0.85
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out(spark):
+    """Fitted on one half of some 4,000 labels and held to the other."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    models = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    out = {r.doc_id: r.toxic for r in toxicity.score(docs.join(labels.where("doc_id % 2 = 1"), "doc_id", "semi"), models).collect()}
+    toxic = {r.doc_id: r.toxic == 1 for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in out}
+    hits = sum(out[i] and t for i, t in toxic.items())
+    precision, recall = hits / max(1, sum(out[i] for i in toxic)), hits / max(1, sum(toxic.values()))
+    assert precision > 0.85 and recall > 0.85
 
 
 def test_pipeline(spark, texts):

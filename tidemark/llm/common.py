@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
+
 #: What separates words: space and the ASCII control characters from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -37,10 +39,13 @@ def word_array(text) -> F.Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for data between jobs: the session's spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder for data between jobs: the session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary one, and any other is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -60,8 +65,3 @@ def stored(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of a table under sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
-
-
-def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
-    """Partitions that hold about per_partition rows each."""
-    return max(least, -(-rows // per_partition))

@@ -7,13 +7,15 @@
 2. A budget of tokens gives each source a quota. A source is passed over as often as its quota needs, each pass a
    pseudo-random permutation of its documents (order of a seeded hash), cut where the quota is reached.
 3. The sequence of each source is dealt over blocks in equal token shares, so that every block has the
-   sources at their weights; within a block a second hash gives the order.
+   sources at their weights; documents of a source without tokens are dealt by hash. Within a block a second hash gives the order.
 
 Running token sums are made in two levels: a source's hash range is split into buckets of about BUCKET rows, whose
 totals are summed first. No window holds a whole source, and a hot source only has more buckets.
 
 Edge cases: a null source is the source of empty name; a null text has no tokens; rows equal in doc_id, source
-and text move together as one unit; a source without tokens has weight 0 and is passed over once; with an
+and text move together as one unit; ties in a hash are ordered by doc_id and text hash; null doc_ids stay null; very long texts count by their tokens and
+may make a block longer; other columns are ignored, whatever their names, and mixed_documents keeps them (but m_id, m_source, m_h, m_key, m_times and
+m_copy); a source without tokens has weight 0 and is passed over once; with an
 infeasible target the nearest end of [0, 1] is taken; an empty table gives no rows.
 """
 
@@ -29,7 +31,8 @@ from tidemark.llm.common import cut, word_array
 
 PROBES, ROUNDS = 15, 5
 BUCKET = 20_000
-BLOCK_TOKENS = 1 << 20
+#: Tokens of a block, and most rows of one on average.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 100_000
 #: Up to so many sources (about 100 bytes each) are sent to every task; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -93,13 +96,13 @@ def _unit(h: Column) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def schedule(units: DataFrame, weights: DataFrame, n_sources: int, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+def schedule(units: DataFrame, weights: DataFrame, n_sources: int, block_tokens: int = BLOCK_TOKENS, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows doc_id, source, h, n_copies, n_tokens, pass, block, position of the mix."""
-    size = weights.agg(F.sum("quota")).first()[0] or 0
-    n_blocks = max(1, -(-size // block_tokens))
+    passes = F.greatest(F.when(F.col("tokens") > 0, F.ceil(F.col("quota") / F.col("tokens"))).otherwise(1), F.lit(1)).cast("int")
+    size, rows = (x or 0 for x in weights.agg(F.sum("quota"), F.sum(F.col("n_units") * passes)).first())
+    n_blocks = max(1, -(-size // block_tokens), -(-rows // block_rows))
     table = F.broadcast(weights) if n_sources <= BROADCAST_SOURCES else weights
     x = units.join(table, "source")
-    passes = F.greatest(F.when(F.col("tokens") > 0, F.ceil(F.col("quota") / F.col("tokens"))).otherwise(1), F.lit(1)).cast("int")
     x = x.withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
     x = x.withColumn("r", F.xxhash64(F.lit(seed), "doc_id", "h", "pass"))
     x = x.withColumn("bucket", F.floor(_unit(F.col("r")) * F.ceil(F.col("n_units") / F.lit(BUCKET))).cast("long"))
@@ -109,7 +112,7 @@ def schedule(units: DataFrame, weights: DataFrame, n_sources: int, block_tokens:
     x = x.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "pass", "bucket"])
     x = x.withColumn("start", F.col("pass") * F.col("tokens") + F.col("before") + F.col("upto") - F.col("n_tokens"))
     x = x.where((F.col("pass") < F.col("full")) | (F.col("start") < F.col("quota")))
-    share = F.col("start") / F.greatest(F.col("quota"), F.lit(1))
+    share = F.when(F.col("tokens") > 0, F.col("start") / F.greatest(F.col("quota"), F.lit(1))).otherwise(_unit(F.xxhash64(F.lit(seed + 2), "doc_id", "h")))
     x = x.withColumn("block", F.least(F.floor(share * n_blocks), F.lit(n_blocks - 1)).cast("long"))
     order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h", "pass"), "doc_id", "h", "pass", "source")
     return x.select("doc_id", "source", "h", "n_copies", "n_tokens", F.col("pass").cast("int"), "block", (F.row_number().over(order) - 1).cast("long").alias("position"))

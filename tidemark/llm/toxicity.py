@@ -10,7 +10,9 @@ the driver are the sampled rows' sets of hashed words. All documents are scored,
 
 Edge cases: a null or empty text has no words and gets the models' base rates; labels without a document and
 null labels are left out, null doc_ids stay null, and documents with several labels count once (the largest); repeated documents are
-scored one by one; without any label of a kind, its probability is the base rate (0 without rows).
+scored one by one, and of different texts under a labelled doc_id the least one is learnt from; probabilities at the threshold count as toxic;
+without any label of a kind, its probability is the base rate (0 without rows); very long texts are sets of words like others; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Model]
     """The chain fitted on documents (doc_id, text) that labels (doc_id, quality, toxic) covers."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size is bounded, so it may be broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *CATEGORIES).agg(F.min("text").alias("text"))
     got = joined.mapInPandas(_with_places, "doc_id long, places array<int>, low_quality int, toxic int").toPandas().sort_values("doc_id")
     return fit_chain([np.asarray(r, dtype=np.int64) for r in got["places"]], got[list(CATEGORIES)].to_numpy(dtype=float).reshape(-1, len(CATEGORIES)))
 

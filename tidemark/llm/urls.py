@@ -3,10 +3,11 @@
 A url is split at its first "://" into host (up to /, ? or #, ASCII lower case) and path (up to ? or #).
 The longest rule that fits the host or a parent domain of it, and begins the path, decides. Without a rule
 the vocabulary decides: a term counts where no ASCII letter or digit stands on either side of it, in host and path,
-lower case; one strict term or MIN_SOFT different soft terms block the url.
+lower case; the weights of the different terms found are added, and LIMIT blocks the url: one strict term has as much, a soft one half of it.
 
 Edge cases: a null url, or one without "://", has empty host and path and is allowed; repeated rows are
-judged alike; length doesn't matter, since the automaton reads each url once.
+judged alike; a rule and a vocabulary may fit at once, then the rule decides, and of rules the longest; a very long url is read once by the automaton; an empty
+table gives no rows; digest reads page_id and url only, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
+
 #: Rules as (host, path, verdict); fixed values.
 RULES = (
     ("com", "/en/", "block"),
@@ -26,11 +29,14 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: One of these blocks a url.
+#: Weights of a strict term, of a soft one, and of different terms together that block a url.
+STRICT_WEIGHT, SOFT_WEIGHT, LIMIT = 1.0, 0.5, 1.0
+#: Default terms.
 STRICT = ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm", "porn", "xxx", "viagra", "cialis")
-#: MIN_SOFT different ones of these block a url.
 SOFT = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "farm", "free", "jackpot", "loan", "lottery", "pills", "poker", "sex", "slots", "spam", "track", "win")
-MIN_SOFT = 2
+TERMS = tuple((t, SOFT_WEIGHT) for t in SOFT) + tuple((t, STRICT_WEIGHT) for t in STRICT)
+#: Most terms of a vocabulary that is read from a table; it goes to every task.
+MOST_TERMS = 1_000_000
 JUDGED = "struct<host:string,path:string,rule:string,verdict:string,n_strict:int,n_soft:int>"
 
 
@@ -49,13 +55,19 @@ def _rules(rules: tuple) -> list[tuple[str, str, str, str]]:
     return sorted(((h, p, v, h + p) for h, p, v in rules), key=lambda x: -len(x[3]))
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, float], ...]:
+    """Terms and weights of a table (term, weight), which must have at most MOST_TERMS different terms; the largest weight of a term counts, null terms don't."""
+    rows = terms.where("term is not null and term <> ''").groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("double").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise InvalidArgument(f"more than {MOST_TERMS} terms")
+    return tuple(sorted((r.term, r.weight or 0.0) for r in rows))
+
+
 @lru_cache(4)
-def _automaton(strict: tuple, soft: tuple) -> ahocorasick.Automaton:
+def _automaton(terms: tuple[tuple[str, float], ...]) -> ahocorasick.Automaton:
     built = ahocorasick.Automaton()
-    for term in soft:
-        built.add_word(term, (term, 0))
-    for term in strict:
-        built.add_word(term, (term, 1))
+    for term, weight in terms:
+        built.add_word(term, (term, weight))
     built.make_automaton()
     return built
 
@@ -64,33 +76,34 @@ def _plain(c: str) -> bool:
     return not ("a" <= c <= "z" or "0" <= c <= "9")
 
 
-def count_terms(text: str, strict: tuple = STRICT, soft: tuple = SOFT) -> tuple[int, int]:
-    """Different strict and soft terms that stand alone in a lower-case text."""
-    found: tuple[set, set] = (set(), set())
-    for last, (term, kind) in _automaton(strict, soft).iter(text):
+def weigh_terms(text: str, terms: tuple[tuple[str, float], ...] = TERMS) -> tuple[int, int, float]:
+    """How many different strict (LIMIT or more) and soft terms stand alone in a lower-case text, and their weight."""
+    found: dict[str, float] = {}
+    for last, (term, weight) in _automaton(terms).iter(text) if terms else ():
         first = last - len(term) + 1
         if (first == 0 or _plain(text[first - 1])) and (last + 1 == len(text) or _plain(text[last + 1])):
-            found[kind].add(term)
-    return len(found[1]), len(found[0])
+            found[term] = weight
+    strict = sum(w >= LIMIT for w in found.values())
+    return strict, len(found) - strict, sum(found.values())
 
 
-def judge(url: str | None) -> tuple[str, str, str | None, str, int, int]:
+def judge(url: str | None, terms: tuple[tuple[str, float], ...] = TERMS, rules: tuple = RULES) -> tuple[str, str, str | None, str, int, int]:
     """host, path, rule, verdict and counts of terms of one url."""
     host, path = split_url(url)
-    n_strict, n_soft = count_terms("".join(c.lower() if "A" <= c <= "Z" else c for c in host + path)) if host or path else (0, 0)
-    for h, p, verdict, name in _rules(RULES):
+    n_strict, n_soft, weight = weigh_terms("".join(c.lower() if "A" <= c <= "Z" else c for c in host + path), terms) if host or path else (0, 0, 0.0)
+    for h, p, verdict, name in _rules(rules):
         if path.startswith(p) and (host == h or host.endswith("." + h)):
             return host, path, name, verdict, n_strict, n_soft
-    return host, path, None, "block" if n_strict or n_soft >= MIN_SOFT else "allow", n_strict, n_soft
+    return host, path, None, "block" if weight >= LIMIT else "allow", n_strict, n_soft
 
 
-def _judged(urls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([judge(u) for u in urls], columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"]).astype({"n_strict": "int32", "n_soft": "int32"})
+def judge_urls(df: DataFrame, url: str = "url", into: str = "judged", terms: tuple[tuple[str, float], ...] = TERMS, rules: tuple = RULES) -> DataFrame:
+    """df with a struct column of host, path, rule, verdict and counts. A column named as `into` is replaced. terms: see vocabulary."""
 
+    def judged(urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(u, terms, rules) for u in urls], columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"]).astype({"n_strict": "int32", "n_soft": "int32"})
 
-def judge_urls(df: DataFrame, url: str = "url", into: str = "judged") -> DataFrame:
-    """df with a struct column of host, path, rule, verdict and counts. A column named as `into` is replaced."""
-    return df.withColumn(into, F.pandas_udf(_judged, JUDGED)(F.col(url)))
+    return df.withColumn(into, F.pandas_udf(judged, JUDGED)(F.col(url)))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -116,6 +129,6 @@ WITH cut AS (
   SELECT *, CASE {" ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)} END AS rule FROM counted
 )
 SELECT page_id, host, path, rule,
-  CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in ordered)} WHEN n_strict > 0 OR n_soft >= {MIN_SOFT} THEN 'block' ELSE 'allow' END AS verdict,
+  CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in ordered)} WHEN n_strict * {STRICT_WEIGHT} + n_soft * {SOFT_WEIGHT} >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
   CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft
 FROM ruled"""
