@@ -39,8 +39,8 @@ SIZE, END = 4096, 1
 #: Ratio of the ends of a class of lengths; rows of a range, on average; supersteps of a class after which each range opens sequences for what is left.
 #: A superstep finds few places when it places less than this share.
 RATIO, ROWS, STEPS, FEW = 4, 200_000, 16, 0.1
-#: Chunks of text between blanks whose ids a worker keeps, at some 250 bytes each.
-CACHE = 300_000
+#: Chunks of text between blanks whose ids a worker keeps, twice, at some 200 bytes each.
+CACHE = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: What a sweep gives. GAP: the room `key` of sequence `row`; LEFT: piece `row` of length `key`, the `rank`-th of those left in range `part`; PLACED: piece `row` at `at` of sequence `sequence_id`.
 SWEPT = "kind int, key int, row long, part int, rank long, sequence_id long, at int"
@@ -68,7 +68,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.ends, self.known = ends, {"": b""}
+        self.ends, self.known, self.before = ends, {"": b""}, {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -88,11 +88,14 @@ class Ids:
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Learn those of the chunks that aren't known."""
-        known = self.known
-        fresh, built = set(), []
+        known, before = self.known, self.before
+        fresh, built, odd = set(), [], []
         for c in chunks:
             if c in known:
                 continue
+            if c in before:
+                known[c] = before[c]
+                continue
             low, stop = c.lower(), c[-1]
             if low.isalpha() and (c.isascii() or low == c):
                 fresh.add(low)
@@ -101,7 +104,10 @@ class Ids:
                 fresh.update((low[:-1], stop))
                 built.append((c, low[:-1], stop))
             else:
-                known[c] = self.encode(c).tobytes()
+                odd.append(c)
+        for i in range(0, len(odd), 256):
+            part = odd[i : i + 256]
+            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
         for stop in fresh.intersection(".,;:!?"):
             known[stop] = self.encode(stop).tobytes()
         self._words([w for w in fresh if w not in known])
@@ -109,9 +115,9 @@ class Ids:
             known[c] = known[word] + known[stop]
 
     def forget(self) -> None:
-        """Keep memory bounded."""
+        """Keep memory bounded: what has not been met since the last time goes."""
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.known, self.before = {"": b""}, self.known
 
 
 @lru_cache(2)
