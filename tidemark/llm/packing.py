@@ -40,7 +40,7 @@ SIZE, END = 4096, 1
 #: A superstep finds few places when it places less than this share.
 RATIO, ROWS, STEPS, FEW = 4, 200_000, 16, 0.1
 #: Chunks of text between blanks whose ids a worker keeps, twice, at some 200 bytes each.
-CACHE = 600_000
+CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: What a sweep gives. GAP: the room `key` of sequence `row`; LEFT: piece `row` of length `key`, the `rank`-th of those left in range `part`; PLACED: piece `row` at `at` of sequence `sequence_id`.
 SWEPT = "kind int, key int, row long, part int, rank long, sequence_id long, at int"
