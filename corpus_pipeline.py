@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: the STAGES in order, each on all that the one before it kept."""
+"""A corpus from raw documents to packed sequences: the STAGES in order, each on all that the one before it kept.
+
+Edge cases, for each stage: columns other than those of documents are dropped, whatever their names; an empty table gives no rows; null doc_ids
+and sources stay null. Null, blank and short texts go in the first stage; of equal rows one stays in the second; very long texts are
+handled whole, in memory proportional to one of them, and cut into pieces by the last stage alone.
+"""
 
 from __future__ import annotations
 
