@@ -257,3 +257,25 @@ def test_dictionary_numbers_without_gaps(spark):
 def test_bloom_filters_are_on_tags():
     assert "parquet.bloom.filter.enabled#host" in Config().writer_options(("host",)) and not any("bloom" in k for k in Config(bloom=()).writer_options(("host",)))
     assert Config(flush_ms=250).every() == "250 milliseconds" and Config(batch_points=7).reader_options()["maxOffsetsPerTrigger"] == "7"
+
+
+@pytest.mark.parametrize("name", ["median", "p95", "p99"])
+def test_quantiles_equal_those_of_sorted_values(spark, name):
+    """Large and small groups, ties, NaN, nulls, a null key and a group without values, each against Spark's exact aggregate."""
+    from tidemark.functions.aggregates import AGGREGATES
+
+    i = F.col("id")
+    host = F.when(i % 7 == 0, None).when(i < 400_000, "big").when(i < 400_003, "few").when(i < 400_009, "ties").when(i < 400_050, "none").otherwise("nan")
+    v = (F.xxhash64("id") % 1_000_003).cast("double")
+    v = F.when(host == "ties", 4.0).when((host == "none") | (i % 11 == 0), None).when((host == "nan") & (i % 4 == 0), math.nan).otherwise(v)
+    m = Measurement(spark.range(400_500).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), host.alias("host"), v.alias("value"), i.alias("seq")), "ts", ("host",), ("value",), ("seq",))
+    shown = lambda rows: {r[0]: repr(None if r.x is None else round(r.x, 6)) for r in rows}
+    assert shown(Query(m).group_by("host").agg(name, into="x").df().collect()) == shown(m.source.groupBy("host").agg(AGGREGATES[name](m, "value").alias("x")).collect())
+    assert repr(one(Query(m).range("1970-01-02").agg(name, into="x")).x) == repr(m.source.where("ts >= '1970-01-02'").select(AGGREGATES[name](m, "value").alias("x")).first().x)
+
+
+def test_quantiles_keep_their_place_among_aggregates(spark):
+    df = Query(values(spark, [1.0, 2.0, 3.0, 4.0])).group_by("host").bucket("1 hour").agg("p95").agg("sum").agg("median").df()
+    assert df.columns == ["host", "bucket", "p95", "sum", "median", "points"]
+    r = df.first()
+    assert (round(r.p95, 6), r["sum"], r.median, r.points) == (3.85, 10.0, 3.0, 4)

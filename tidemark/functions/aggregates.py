@@ -33,7 +33,8 @@ def _not_nan(v: str) -> Column:
 
 
 #: By name, on a column by name. Median is the upper one of an even number of values; percentiles are exact, by
-#: interpolation; standard deviation is of the population; least and largest leave NaN out.
+#: interpolation; standard deviation is of the population; least and largest leave NaN out. As columns, median and
+#: percentiles hold the different values of a group; queries compute them by operators/quantiles.py, which doesn't.
 AGGREGATES: dict[str, Callable[[Measurement, str], Column]] = {
     "count": lambda m, v: F.count(v),
     "sum": lambda m, v: F.sum(v),

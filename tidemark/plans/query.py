@@ -13,6 +13,7 @@ from tidemark.functions.aggregates import aggregate, time_of, value_of
 from tidemark.functions.predicates import Predicate, all_equal
 from tidemark.model import Measurement
 from tidemark.operators.buckets import bucket_start
+from tidemark.operators.quantiles import SHARES, with_quantile
 
 
 @dataclass(frozen=True, eq=False)
@@ -109,14 +110,21 @@ class Query:
             df = self._sorted(df, m.order(self.ascending))
             return df.select(*dict.fromkeys((m.time, *m.tags, *(self.chosen or m.fields), *m.tiebreak)))
         kinds = dict(m.source.dtypes)
-        keys = [F.col(g) for g in self.groups] + ([bucket_start(F.col(m.time), self.every).alias("bucket")] if self.every else [])
+        names = [*self.groups, *(["bucket"] if self.every else [])]
+        keys = [F.col(g) for g in self.groups] + ([bucket_start(F.col(m.time), self.every)] if self.every else [])
         fields = dict.fromkeys(m.field(field) for _, field, _ in self.aggregates)
-        df = df.select("*", *(value_of(f, kinds[f], self.zero).alias(f"value_of_{f}") for f in fields))
-        columns = [aggregate(m, name, f"value_of_{m.field(field)}").alias(into) for name, field, into in self.aggregates]
+        df = df.select("*", *(value_of(f, kinds[f], self.zero).alias(f"value_of_{f}") for f in fields), *(k.alias(f"key_{i}") for i, k in enumerate(keys)))
+        held = [f"key_{i}" for i in range(len(keys))]
+        columns = {into: aggregate(m, name, f"value_of_{m.field(field)}") for name, field, into in self.aggregates if name not in SHARES}
         if len(self.aggregates) == 1:
-            columns.append(time_of(m, self.aggregates[0][0]).alias("time"))
-        columns.append(F.count("*").alias("points"))
-        out = df.groupBy(*keys).agg(*columns)
+            columns["time"] = time_of(m, self.aggregates[0][0])
+        columns["points"] = F.count("*")
+        out = df.groupBy(*held).agg(*(c.alias(into) for into, c in columns.items()))
+        for name, field, into in self.aggregates:
+            if name in SHARES:
+                out = with_quantile(out, df, held, f"value_of_{m.field(field)}", name, into)
+        shown = dict.fromkeys([*(into for _, _, into in self.aggregates), *columns])
+        out = out.select(*(F.col(k).alias(n) for k, n in zip(held, names, strict=True)), *shown)
         by = (["bucket"] if self.every else []) + list(self.groups)
         return self._sorted(out, [F.col(c).asc() if self.ascending else F.col(c).desc() for c in by])
 
