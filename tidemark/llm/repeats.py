@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import anchors_of, gram_hashes, mix
-from tidemark.llm.common import cut, known_id
+from tidemark.llm.common import cut, known_id, stored
 
 ROWS = "g long, c long, id long, h long, place long, kind int"
 CONTEXTS = "g long, c long, id long, place long, many boolean, symbols binary"
@@ -36,6 +36,8 @@ WINDOWS = "g long, c long, id long, place long, many boolean, low int, w1 long,
 ALONE, STANDS, SPREAD = 0, 1, 2
 #: Symbols indexed at once; most of them in one group; characters of text whose anchors are made at once; partitions over which one batch's others are spread.
 CHUNK, BUDGET, TEXTS, SALTS = 1 << 19, 1 << 20, 8 << 20, 1 << 10
+#: Grams over BUDGET, of 8 bytes each, up to which their list is sent to all workers rather than joined by a shuffle.
+BROADCAST_GRAMS = 1 << 18
 WIDTH_BITS = 8
 
 
@@ -184,7 +186,8 @@ def judged_by_window(rows: DataFrame, length: int, dtype: type, first_stays: boo
                 w1, w2 = (mix(gram_hashes(mix(x + np.uint64(seed)), length)[0]).view(np.int64) for seed in (1, 1 << 40))
                 yield pd.DataFrame({"g": g, "c": c, "id": i, "place": place, "many": many, "low": np.arange(len(w1), dtype=np.int32), "w1": w1, "w2": w2})
 
-    windows = cut(rows.dropDuplicates(["g", "c"]).select("g", "c", "id", "place", "many", "symbols").mapInPandas(run, WINDOWS))
+    # Read twice from the one shuffle of the strings; the windows are only numbers made from them.
+    windows = rows.dropDuplicates(["g", "c"]).select("g", "c", "id", "place", "many", "symbols").mapInPandas(run, WINDOWS)
     at = F.struct("id", (first_of(F.col("place")) + F.col("low")).alias("at"))
     facts = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.max("many").alias("often"))
     facts = facts.where("n > 1" if first_stays else "n > 1 or often")
@@ -200,16 +203,18 @@ def marked_documents(df: DataFrame, hashes: Callable[[str], np.ndarray], symbols
     first_stays: the first place of a string has the stretches that judge gives, all others are marked whole; else all have them.
     """
     docs = keyed(df)
-    places = cut(places_of_repeats(anchor_rows(docs, hashes, length, gram)))
+    places = stored(places_of_repeats(anchor_rows(docs, hashes, length, gram)))  # sorted by gram, so files are a fraction of a checkpoint's rows
     reps = places.where("rep")
     placed = docs.repartition("id", "h")  # the one shuffle of the texts, read by both joins
-    strings = contexts(placed, reps, symbols, length)
-    large = reps.groupBy("g").agg(F.sum(width_of(F.col("place")) + length).alias("n")).where(F.col("n") > BUDGET).select("g")
-    if large.isEmpty():
-        found = judged_in_groups(strings, judge, dtype)
-    else:
-        large, strings = cut(large), cut(strings)
-        found = judged_in_groups(strings.join(large, "g", "anti"), judge, dtype).unionByName(judged_by_window(strings.join(large, "g", "semi"), length, dtype, first_stays))
+    large = cut(reps.groupBy("g").agg(F.sum(width_of(F.col("place")) + length).alias("n")).where(F.col("n") > BUDGET).select("g"))
+    strings = lambda asked: contexts(placed, asked, symbols, length)
+    n_large = large.count()
+    if n_large <= BROADCAST_GRAMS:
+        large = F.broadcast(large)
+    if not n_large:
+        found = judged_in_groups(strings(reps), judge, dtype)
+    else:  # the groups are told apart before their strings are cut, so these and the texts are shuffled in one job and not written besides
+        found = judged_in_groups(strings(reps.join(large, "g", "anti")), judge, dtype).unionByName(judged_by_window(strings(reps.join(large, "g", "semi")), length, dtype, first_stays))
     if first_stays:  # strings of which nothing is marked still have other places
         found = found.unionByName(reps.where("many").select("g", "c", "id", "place", F.lit(0).alias("low"), F.lit(0).alias("high")))
     found = found.withColumnsRenamed({"id": "rep_id", "place": "rep_place"})
