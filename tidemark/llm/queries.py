@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op6_url_filters": urls.sql()}
+    return {"op3_quality_rules": quality.sql(), "op5_substring_dedup": substrings.sql(), "op6_url_filters": urls.sql()}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, words_of
+from tidemark.llm.common import NO_ID, SPACE_CLASS, words_of
 from tidemark.llm.repeats import covered, marked_documents, stretches
 from tidemark.llm.suffixes import Suffixes, joined
 
@@ -100,3 +100,20 @@ def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
 def digest(df: DataFrame) -> DataFrame:
     """Counts and digest of what is kept of documents (doc_id, text)."""
     return deduplicated(df.select("doc_id", "text")).withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
+def sql(length: int = LENGTH) -> str:
+    """digest in SQL: every window of every document is counted."""
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE_CLASS}+'), lambda w: w <> '') AS w FROM documents
+), words AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d
+), windows AS (
+  SELECT r, k, count(*) OVER (PARTITION BY s) > 1 AS again FROM (SELECT r, k, array_to_string(w[k : k + {length - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {length - 2})) AS k FROM d))
+), judged AS (
+  SELECT r, k, word, coalesce(bool_or(again) OVER (PARTITION BY r ORDER BY k ROWS {length - 1} PRECEDING), false) AS gone FROM words LEFT JOIN windows USING (r, k)
+), counted AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM judged GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN counted USING (r)"""
